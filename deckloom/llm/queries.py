@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.llm import media, mixing, packing, quality
+from deckloom.llm import media, mixing, neardup, packing, quality
 from deckloom.llm.sql import ORACLES
 
 
@@ -33,12 +33,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op5_packing, op7_mixing, op9_media)
+    f.__name__: f for f in (op1_quality, op5_packing, op7_mixing, op8_neardup, op9_media)
 }
 
 
