@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.llm import media, mixing, neardup, packing, quality
+from deckloom.llm import hpylm, media, mixing, neardup, packing, quality
 from deckloom.llm.sql import ORACLES
 
 
@@ -25,6 +25,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,7 +46,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op5_packing, op7_mixing, op8_neardup, op9_media)
+    f.__name__: f for f in (op1_quality, op3_lm, op5_packing, op7_mixing, op8_neardup, op9_media)
 }
 
 
