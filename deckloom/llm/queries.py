@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deckloom.llm import hpylm, media, mixing, neardup, packing, quality
+from deckloom.llm import html_extract, hpylm, media, mixing, neardup, packing, quality
 from deckloom.llm.sql import ORACLES
 
 
@@ -45,8 +45,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_lm, op5_packing, op7_mixing, op8_neardup, op9_media)
+    f.__name__: f for f in (op1_quality, op3_lm, op5_packing, op7_mixing, op8_neardup, op9_media, op10_html)
 }
 
 
