@@ -33,7 +33,7 @@ _BLOCK = frozenset(
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead tr ul caption button".split()
 )
-_CONTAINER = frozenset("article body blockquote center div dl details main ol section table tbody td tr ul".split())
+_CONTAINER = frozenset("html article body center div main section td".split())
 #: Elements whose text is never part of an article.
 _OUTSIDE = frozenset("aside button dialog fieldset footer form head menu nav optgroup option search select label input".split())
 #: Words of classes, ids and roles that say the same.
