@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deckloom.llm import html_extract, hpylm, media, mixing, neardup, packing, quality
+from deckloom.llm import ann, html_extract, hpylm, media, mixing, neardup, packing, quality
 from deckloom.llm.sql import ORACLES
 
 
@@ -33,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_lm, op5_packing, op7_mixing, op8_neardup, op9_media, op10_html)
+    f.__name__: f for f in (op1_quality, op3_lm, op5_packing, op6_ann, op7_mixing, op8_neardup, op9_media, op10_html)
 }
 
 
