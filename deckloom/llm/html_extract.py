@@ -233,7 +233,9 @@ def parse(source: str) -> Page:
             stack.append(element)
             if tag in _CONTAINER and not element.out:
                 page.containers.append(element)
-    text(source[at:])
+    rest = source[at:]  # markup that the end of the page cuts off is no text
+    cut = re.search(r"<[a-zA-Z/!?]", rest)
+    text(rest[: cut.start()] if cut else rest)
     flush()
     if root.score:
         page.containers.append(root)

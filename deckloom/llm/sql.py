@@ -32,4 +32,22 @@ SELECT doc_id, source, size, source_size, target,
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op7_mixing": MIXING}
+
+CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(regexp_replace(role, '(\\|<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1.', 'g'))
+    + length(regexp_replace(text, '(\\|<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1.', 'g')) + 32 AS chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_chat": CHAT, "op7_mixing": MIXING}
