@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import ann, chat, html_extract, hpylm, media, mixing, neardup, packing, quality
+from deckloom.llm import ann, chat, html_extract, hpylm, langid, media, mixing, neardup, packing, quality
 from deckloom.llm.sql import ORACLES
 
 
@@ -39,6 +39,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +68,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_chat, op3_lm, op5_packing, op6_ann, op7_mixing, op8_neardup, op9_media, op10_html)
+    f.__name__: f for f in (op1_quality, op2_chat, op3_lm, op4_langid, op5_packing, op6_ann, op7_mixing, op8_neardup, op9_media, op10_html)
 }
 
 
