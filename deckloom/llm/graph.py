@@ -7,30 +7,39 @@ from pyspark.sql import functions as F
 
 from deckloom.llm.store import materialise
 
+#: Labels sent to all tasks while they are at most so many (two short keys
+#: each); more are joined by shuffle.
+BROADCAST_LABELS = 200_000
+#: Rows of an output file: tables of few rows need few tasks.
+FILE_ROWS = 100_000
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def components(links: DataFrame, a: str = "a", b: str = "b", broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
     """(node, label) of every node that ``links`` name: the smallest node that
     can be reached.
 
-    Rounds of neighbour minima, pre-aggregated before they shuffle, each
-    followed by a jump to the label's label, so stars take two rounds and
-    chains a logarithm of their length or little more.  Each round is written
-    out; only the number of changed labels comes to the driver.
+    Each round takes the minimum of the neighbours' labels, pre-aggregated
+    before it shuffles, and jumps to the label's label, so stars take two
+    rounds and chains a logarithm of their length or little more.  Each round
+    is written out; only numbers of labels come to the driver.
     """
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = materialise(both, "links")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))
+    links = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("uv", "vu", "uu", "vv")]))
+    both = materialise(links.select(both.alias("e")).select("e.u", "e.v"), "links")
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     labels = materialise(labels, "labels")
+    n = labels.count()
+    files = max(1, -(-n // FILE_ROWS))
+    few = F.broadcast if n <= broadcast_labels else lambda df: df
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", F.least("label", "near").alias("next"), "label")
-        step = materialise(step, "step")
-        far = step.select(F.col("node").alias("at"), F.col("next").alias("far"))
-        labels = step.join(far, step.next == far.at, "left").select(
-            "node", F.coalesce(F.least("next", "far"), "next").alias("label"), F.col("label").alias("old")
-        )
-        labels = materialise(labels, "labels")
-        if labels.where("label != old").isEmpty():
-            return labels.select("node", "label")
+        near = both.join(few(labels), both.v == labels.node).groupBy("u")
+        near = near.agg(F.min("label").alias("next"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old"))
+        step = materialise(near.coalesce(files) if files < 50 else near, "step")
+        far = step.select(F.col("u").alias("at"), F.col("next").alias("far"))
+        jumped = step.join(few(far), step.next == far.at, "left")
+        jumped = jumped.select(F.col("u").alias("node"), F.coalesce("far", "next").alias("label"), "old")
+        labels = materialise(jumped, "labels")
+        done = labels.where("label != old").isEmpty()
         labels = labels.select("node", "label")
+        if done:
+            return labels

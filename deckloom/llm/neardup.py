@@ -4,11 +4,12 @@ Texts of equal shingle sets are one node of the graph from the start.  For the
 others, independent trees branch on selected minwise tokens: at each level a
 path hash selects one or two of a document's minima (1 / similarity of them
 expected), and the token there extends the path.  Documents of one path at the
-chosen depth are a tree node.  Members are linked to their node's leader after
-an exact count on full sets; nodes whose members that does not connect are
-compared exhaustively, or branched deeper while they are large, and in blocks
-if branching cannot split them.  The number of trees follows from the recall
-wanted for a pair of exactly the least similarity.
+chosen depth are a tree node.  Small nodes are compared exhaustively on full
+sets.  Members of large nodes are linked to the node's leader after the same
+exact count; nodes that this does not connect are branched deeper, and in the
+end compared in pairs of blocks if branching cannot split them.  The number of
+trees follows from the recall wanted for a pair of exactly the least
+similarity.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from deckloom.llm.graph import components
 from deckloom.llm.store import materialise
@@ -178,47 +181,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFram
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _joined(members: list[bytes], labels: list[bytes], sets: list[np.ndarray], short: np.ndarray, s: NearDuplicates, other: int | None = None):
-    """Links that connect a node's members further: every pair whose sketches
-    do not rule it out is tried until both sides are connected.
-
-    With ``other``, only pairs of a member before and one from that place on.
-    """
-    parent = {x: x for x in labels}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    least = s.percent / 100
-    least = s.minima * (least - 5 * math.sqrt(least * (1 - least) / s.minima))
+def _counts(sets: list[np.ndarray], first: int, width: int = 4096) -> np.ndarray:
+    """Intersection sizes of all sets up to ``first`` with all from there on
+    (all with all for 0), by products of blocks of the incidence matrix."""
     sizes = np.array([len(x) for x in sets])
-    found = []
-    for i in range(len(members) if other is None else other):
-        first = i + 1 if other is None else other
-        near = (short[first:] == short[i]).sum(axis=1) >= least
-        near &= 100 * np.minimum(sizes[first:], sizes[i]) >= s.percent * np.maximum(sizes[first:], sizes[i])
-        for j in (first + np.flatnonzero(near)).tolist():
-            x, y = root(labels[i]), root(labels[j])
-            if x != y and s.linked(sets[i], sets[j]):
-                parent[max(x, y)] = min(x, y)
-                found.append((members[i], members[j]))
-    return found
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left = slice(0, first or len(sets))
+    out = np.zeros((first or len(sets), len(sets) - first), np.float32)
+    for at in range(0, len(shared), width):
+        x, y = np.searchsorted(column, [at, at + width])
+        block = np.zeros((len(sets), min(width, len(shared) - at)), np.float32)
+        block[owner[x:y], column[x:y] - at] = 1
+        out += block[left] @ block[first:].T
+    return out
+
+
+def _linked_groups(members: list[bytes], sets: list[np.ndarray], s: NearDuplicates, other: int = 0) -> list[tuple[bytes, bytes]]:
+    """Links that connect what all pairs of a node's members connect: with
+    ``other``, pairs of a member before that place and one from it on."""
+    both = _counts(sets, other)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    union = sizes[: other or None, None] + sizes[None, other:] - both
+    near = 100 * both.astype(np.float64) >= s.percent * union
+    label = np.arange(len(members))
+    while True:
+        row, col = label[: other or None], label[other:]
+        low = np.where(near, col[None, :], len(members)).min(axis=1, initial=len(members))
+        high = np.where(near, row[:, None], len(members)).min(axis=0, initial=len(members))
+        new = label.copy()
+        new[: other or None] = np.minimum(new[: other or None], low)
+        new[other:] = np.minimum(new[other:], high)
+        new = new[new]
+        if np.array_equal(new, label):
+            return [(members[x], members[i]) for i, x in enumerate(label.tolist()) if x != i]
+        label = new
 
 
 def _exhaustive(rows: DataFrame, s: NearDuplicates, key: list[str]) -> DataFrame:
-    """Links within groups of rows (key, side, digest, label, short, words)."""
+    """Links within groups of rows (key, side, digest, words)."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("digest", "ascending")])
         side = group["side"].to_pylist()
-        found = _joined(
-            group["digest"].to_pylist(), group["label"].to_pylist(),
-            [np.frombuffer(x, np.uint64) for x in group["words"].to_pylist()],
-            np.frombuffer(b"".join(group["short"].to_pylist()), np.uint8).reshape(len(side), -1), s,
-            side.index(1) if 1 in side else None,
+        found = _linked_groups(
+            group["digest"].to_pylist(), [np.frombuffer(x, np.uint64) for x in group["words"].to_pylist()], s,
+            side.index(1) if 1 in side and 0 in side else 0,
         )
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -239,16 +253,6 @@ def _deeper(rows: DataFrame, s: NearDuplicates, salt: int) -> DataFrame:
     return rows.select("path", "digest", "short").mapInArrow(run, "path long, digest binary")
 
 
-def _labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``nodes`` with the label of each digest's component so far."""
-    if links is None:
-        return nodes.withColumn("label", F.col("digest"))
-    labels = components(links)
-    return nodes.join(labels, nodes.digest == labels.node, "left").select(
-        *nodes.columns, F.coalesce("label", "digest").alias("label")
-    )
-
-
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settings: NearDuplicates | None = None
 ) -> DataFrame:
@@ -268,7 +272,11 @@ def near_duplicates(
     )
     classes = materialise(classes, "classes")
     links = _links(docs, classes, s)
-    by_class = _labelled(classes.select("digest", "rep"), links)
+    by_class = classes.select("digest", "rep", F.col("digest").alias("label"))
+    if links is not None:
+        labels = components(links)
+        by_class = classes.join(labels, classes.digest == labels.node, "left")
+        by_class = by_class.select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     smallest = by_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = by_class.join(smallest, "label").select("digest", "component_id")
     rows = sketches.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
@@ -279,9 +287,14 @@ def near_duplicates(
 
 
 def _links(docs: DataFrame, classes: DataFrame, s: NearDuplicates) -> DataFrame | None:
-    """Links (a, b) of digests that connect each component."""
+    """Links (a, b) of digests that connect each component.
+
+    Nodes of up to ``s.node`` members are compared exhaustively at once.  In
+    larger ones every member is tried with the leader; where that does not
+    connect all, the node is branched deeper.
+    """
     nodes = classes.select(F.explode("paths").alias("path"), "digest")
-    sets = links = None
+    sets, links = None, []
     for salt in range(s.rounds + 1):
         sizes = nodes.groupBy("path").agg(
             F.count("*").alias("n"), F.min("digest").alias("leader"), F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("members")
@@ -290,26 +303,25 @@ def _links(docs: DataFrame, classes: DataFrame, s: NearDuplicates) -> DataFrame
         sizes = sizes.groupBy("n", "leader", "members").agg(F.min("path").alias("path")).select("path", "n", "leader")
         nodes = materialise(nodes.join(sizes, "path"), "nodes")
         if nodes.isEmpty():
-            return links
+            break
         if sets is None:
-            wanted = materialise(nodes.select("digest").distinct().join(classes.select("digest", "rep"), "digest"), "wanted")
-            sets = materialise(_full_sets(docs, wanted, s), "sets")
-        stars = nodes.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-        new = materialise(_confirmed(stars, sets, s), "links")
-        links = new if links is None else links.unionByName(new)
-        labelled = _labelled(nodes, links)
-        open_nodes = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        rest = labelled.join(open_nodes.select("path"), "path").join(classes.select("digest", "short"), "digest")
-        rest = materialise(rest.select("path", "n", "digest", "label", "short"), "rest")
-        small = rest.where(F.col("n") <= s.node).withColumn("side", F.lit(0)).join(sets, "digest")
-        links = links.unionByName(materialise(_exhaustive(small, s, ["path"]), "links"))
-        large = rest.where(F.col("n") > s.node)
+            wanted = nodes.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
+            sets = materialise(_full_sets(docs, materialise(wanted, "wanted"), s), "sets")
+        small = nodes.where(F.col("n") <= s.node).select("path", F.lit(0).alias("side"), "digest").join(sets, "digest")
+        links.append(materialise(_exhaustive(small, s, ["path"]), "links"))
+        large = nodes.where(F.col("n") > s.node)
         if large.isEmpty():
-            return links
+            break
+        stars = large.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
+        links.append(materialise(_confirmed(stars, sets, s), "links"))
+        joined = large.join(links[-1], (large.leader == F.col("a")) & (large.digest == F.col("b")))
+        closed = joined.groupBy("path", "n").agg(F.count("*").alias("joined")).where("joined = n - 1").select("path")
+        large = large.join(closed, "path", "left_anti").join(classes.select("digest", "short"), "digest")
         if salt == s.rounds:
-            return links.unionByName(materialise(_blocks(large, sets, s), "links"))
-        nodes = _deeper(large, s, salt + 1)
-    return links
+            links.append(materialise(_blocks(large, sets, s), "links"))
+            break
+        nodes = materialise(_deeper(large, s, salt + 1), "deeper")
+    return reduce(DataFrame.unionByName, links) if links else None
 
 
 def _blocks(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
@@ -323,7 +335,7 @@ def _blocks(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
         lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")),
     )
     own = own.withColumn("pair", F.explode(pair)).withColumn("side", F.when((F.col("pair.x") != F.col("pair.y")) & (F.col("block") == F.col("pair.y")), 1).otherwise(0))
-    own = own.select("path", "pair.x", "pair.y", "side", "digest", "label", "short").join(sets, "digest")
+    own = own.select("path", "pair.x", "pair.y", "side", "digest").join(sets, "digest")
     return _exhaustive(own, s, ["path", "x", "y"])
 
 
@@ -336,7 +348,7 @@ def drop_near_duplicates(
     s = settings or NearDuplicates()
     names = docs.columns
     at = names.index(text)
-    schema = docs.schema.add("__digest", "binary")
+    schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
