@@ -28,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.store import materialise
+from deckloom.llm.store import discard, materialise
 from deckloom.llm.text import mix, word_hashes
 
 #: The hash of the token that ends a text; no word has it, up to a collision.
@@ -53,30 +54,69 @@ class PitmanYor:
     samples: int = 4
     between: int = 2  # sweeps from one sample to the next
     reseated: int = 4  # customers of a dish that a sweep reseats, at most
-    block_tokens: int = 2_000_000
-    shard_bytes: int = 16 << 20
+    block_tokens: int = 1_000_000
+    shard_bytes: int = 8 << 20
     least_shards: int = 64
     seed: int = 3
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one body: their lengths, then their bytes."""
-    return np.array([len(arrays), *[len(a) for a in arrays]], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed body: their lengths, then their bytes, all
+    first bytes of an array's values before all second ones."""
+    head = np.array([len(arrays), *[len(a) for a in arrays]], np.int64)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *planes]))
 
 
-def _unpack(body: bytes, *types) -> list[np.ndarray]:
+def _unpack(body, *types) -> list[np.ndarray]:
+    body = zstandard.ZstdDecompressor().decompress(body)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     sizes = np.frombuffer(body, np.int64, n, 8)
     at, out = 8 * (n + 1), []
     for size, kind in zip(sizes.tolist(), types, strict=True):
-        out.append(np.frombuffer(body, kind, size, at))
-        at += size * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(body, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * width
     return out
 
 
 _TEXT_TYPES = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.uint16)  # ids, null ids, held out, tokens; pair of each token, pairs of each word
 _WORD_TYPES = (np.uint64, np.uint16, np.uint16, np.int64)  # words, pairs of each; contexts, training counts
-_STATE_TYPES = (np.uint64, np.int32, np.uint16, np.int64, np.int32, np.int32)  # words, first pair of each (n + 1); contexts, customers, tables (samples x pairs); parent's tables (samples x words)
+_STATE_TYPES = (np.uint64, np.int32, np.uint16, np.int32, np.int64, np.int32, np.int32)
+
+
+@dataclass
+class _Seating:
+    """A shard's dishes: words, the first pair of each (one more at the end),
+    contexts and customers of the pairs, and for each sample the tables of
+    pairs and of the parent's dishes.  Stored, only pairs of two customers or
+    more name their customers and tables: one customer has one table."""
+
+    words: np.ndarray
+    first: np.ndarray
+    contexts: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+    parent: np.ndarray
+
+    def body(self) -> bytes:
+        some = np.flatnonzero(self.customers > 1).astype(np.int32)
+        tables = np.atleast_2d(self.tables)[:, some].astype(np.int32).ravel()
+        parent = self.parent.astype(np.int32).ravel()
+        return _pack(self.words, self.first, self.contexts.astype(np.uint16), some, self.customers[some], tables, parent)
+
+    @classmethod
+    def of(cls, body, samples: int) -> _Seating:
+        words, first, contexts, some, many, tables, parent = _unpack(body, *_STATE_TYPES)
+        customers, full = np.ones(len(contexts), np.int64), np.ones((samples, len(contexts)), np.int32)
+        customers[some], full[:, some] = many, tables.reshape(samples, -1)
+        return cls(words, first, contexts.astype(np.int64), customers, full, parent.reshape(samples, -1))
+
+    @property
+    def owners(self) -> np.ndarray:
+        """The word of each pair."""
+        return np.repeat(np.arange(len(self.words)), np.diff(self.first))
 
 
 def _shard_of(words: np.ndarray, n: int) -> np.ndarray:
@@ -95,10 +135,11 @@ def _to_blocks(docs: DataFrame, model: PitmanYor, n_shards: int) -> DataFrame:
         is_end = np.zeros(len(tokens), bool)
         is_end[ends - 1] = True
         tokens[is_end], tokens[~is_end] = END, words
+        vocabulary, word = np.unique(tokens, return_inverse=True)
         context = np.empty(len(tokens), np.int64)
-        context[1:] = (mix(tokens[:-1]) % np.uint64(model.contexts)).astype(np.int64)
+        context[1:] = (mix(vocabulary) % np.uint64(model.contexts)).astype(np.int64)[word[:-1]]
         context[ends - lengths] = model.contexts
-        vocabulary, word = np.unique(tokens, return_inverse=True)
+        del tokens, words
         pairs, pair = np.unique(word * width + context, return_inverse=True)
         learns = np.repeat(held[:] == 0, lengths)
         seen = np.bincount(pair[learns], minlength=len(pairs)).astype(np.int64)
@@ -245,7 +286,7 @@ def _first_seating(requests: DataFrame, model: PitmanYor, customers: np.ndarray)
         served = np.bincount(word, tables, len(vocabulary)).astype(np.int64)
         base = (model.parent_strength + model.parent_discount * served.sum()) / (len(vocabulary) + 1.0)
         parent = _sit_down(served, np.full(len(served), base), model.parent_discount, rng).astype(np.int32)
-        body = _pack(vocabulary, first, ctx.astype(np.uint16), c, tables, parent)
+        body = _Seating(vocabulary, first, ctx, c, tables, parent).body()
         return pa.table([pa.array([shard], pa.int32()), pa.array([body], pa.binary())], ["shard", "body"])
 
     return requests.groupBy("shard").applyInArrow(run, "shard int, body binary")
@@ -259,10 +300,10 @@ def _totals(states: DataFrame, model: PitmanYor, customers: np.ndarray, samples:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column(1):
-                words, _, ctx, _, tables, parent = _unpack(body.as_buffer(), *_STATE_TYPES)
-                rows = [(width + 1, 0, len(words))]
-                for s, (t, p) in enumerate(zip(tables.reshape(samples, -1), parent.reshape(samples, -1), strict=True)):
-                    each = np.bincount(ctx, t, width).astype(np.int64)
+                seated = _Seating.of(body.as_buffer(), samples)
+                rows = [(width + 1, 0, len(seated.words))]
+                for s, (t, p) in enumerate(zip(seated.tables, seated.parent, strict=True)):
+                    each = np.bincount(seated.contexts, t, width).astype(np.int64)
                     rows += [(int(k), s, int(each[k])) for k in np.flatnonzero(each)] + [(width, s, int(p.sum()))]
                 cols = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["what", "sample", "total"])
@@ -287,10 +328,10 @@ def _sampled(states: DataFrame, model: PitmanYor, totals: _Totals) -> DataFrame:
         for batch in batches:
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rng = np.random.default_rng([model.seed, shard, 1])
-                words, first, ctx, c, tables, parent = _unpack(body.as_buffer(), *_STATE_TYPES)
-                tables, parent = tables.astype(np.int64), parent.astype(np.int64)
-                word = np.repeat(np.arange(len(words)), np.diff(first))
-                opens = (model.strength + model.discount * totals.tables[0])[ctx]
+                seated = _Seating.of(body.as_buffer(), 1)
+                words, c, word = seated.words, seated.customers, seated.owners
+                tables, parent = seated.tables[0].astype(np.int64), seated.parent[0].astype(np.int64)
+                opens = (model.strength + model.discount * totals.tables[0])[seated.contexts]
                 total = totals.tables[0].sum()
                 base = (model.parent_strength + model.parent_discount * totals.parent_tables[0]) / (totals.words + 1)
                 kept, kept_parent = [], []
@@ -304,7 +345,7 @@ def _sampled(states: DataFrame, model: PitmanYor, totals: _Totals) -> DataFrame:
                         kept.append(tables.astype(np.int32))
                         served = np.bincount(word, tables, len(words)).astype(np.int64)
                         kept_parent.append(np.minimum(parent, served).astype(np.int32))
-                out = _pack(words, first, ctx, c, np.concatenate(kept), np.concatenate(kept_parent))
+                out = _Seating(words, seated.first, seated.contexts, c, np.stack(kept), np.stack(kept_parent)).body()
                 yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([out], pa.binary())], ["shard", "body"])
 
     return states.mapInArrow(run, "shard int, body binary")
@@ -317,13 +358,11 @@ def _answers(states: DataFrame, requests: DataFrame, model: PitmanYor, totals: _
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        none = np.zeros(0, np.int64)
+        seated = _Seating(none.astype(np.uint64), np.zeros(1, np.int32), none, none, np.zeros((samples, 0)), np.zeros((samples, 0)))
         if left.num_rows:
-            words, first, ctx, c, tables, parent = _unpack(left["body"][0].as_buffer(), *_STATE_TYPES)
-        else:
-            words, first, ctx, c = np.zeros(0, np.uint64), np.zeros(1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            tables, parent = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        tables, parent = tables.reshape(samples, -1), parent.reshape(samples, -1)
-        word = np.repeat(np.arange(len(words)), np.diff(first))
+            seated = _Seating.of(left["body"][0].as_buffer(), samples)
+        words, ctx, c, word, tables, parent = seated.words, seated.contexts, seated.customers, seated.owners, seated.tables, seated.parent
         keys = word * width + ctx
         counts = np.append(np.bincount(word, c, len(words)).astype(np.int64), 0)
         known_pair = np.append(keys, -1)
@@ -405,8 +444,11 @@ def score_texts(
     customers = np.zeros(model.contexts + 1)
     for row in blocks.where(F.col("kind") == _TOTALS).groupBy("shard").agg(F.sum("block").alias("n")).collect():
         customers[row["shard"]] = row["n"]
-    states = materialise(_first_seating(requests, model, customers), "seated")
-    states = materialise(_sampled(states, model, _totals(states, model, customers, 1)), "sampled")
+    seated = materialise(_first_seating(requests, model, customers), "seated")
+    states = materialise(_sampled(seated, model, _totals(seated, model, customers, 1)), "sampled")
+    discard(seated)
     totals = _totals(states, model, customers, model.samples)
-    answers = _answers(states, requests, model, totals)
+    answers = materialise(_answers(states, requests, model, totals), "answers")
+    discard(blocks, f"kind={_WORDS}")
+    discard(states)
     return _scored(blocks.where(F.col("kind") == _TEXTS).select("block", "body"), answers, totals)

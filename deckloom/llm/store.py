@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[app]
 
 
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files once they are done: what they
+    wrote is read from now on, and never their shuffles."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -35,12 +50,24 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deckloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffle_files_removed(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._materialised_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Remove a materialised table, or one part of it, that no later query
+    reads."""
+    _delete(table.sparkSession, f"{table._materialised_at}/{part}")
 
 
 def clean(spark: SparkSession) -> None:
     """Remove the tables that this application materialised."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/deckloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/deckloom/{spark.sparkContext.applicationId}")
