@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from deckloom.errors import ParseError
 from deckloom.functions.headings import GENERATOR
 from deckloom.functions.text import MaskingOptions
-from deckloom.operators.assemble import assemble_documents
+from deckloom.operators.assemble import assemble_documents, assemble_records
 from deckloom.operators.enrich import enrich_descriptions, reconstruct_slides
 from deckloom.operators.validate import validate_documents
 from deckloom.providers import ImageDescriber, SlideReconstructor
 from deckloom.sources.convert import render_deck
 from deckloom.sources.decks import Deck, parse_files, split_records
+from deckloom.sources.ooxml import Package
 from deckloom.sources.pixels import classify_images
 
 _log = logging.getLogger("deckloom")
@@ -73,11 +74,26 @@ def to_markdown(deck: Deck, options: ConvertOptions | None = None) -> DataFrame:
     )
 
 
+def convert_contents(files: DataFrame, options: ConvertOptions | None = None, *, mode: str = "PERMISSIVE") -> DataFrame:
+    """(deck_id, markdown) of a table of (path, content).
+
+    Without providers the files are parsed once and image bytes never leave
+    the task that reads them; with providers the tables are read as needed.
+    """
+    o = options or ConvertOptions()
+    if o.describer is not None or (o.visual_reconstruct and o.reconstructor is not None):
+        return to_markdown(split_records(parse_files(files, mode=mode)), o)
+    records = parse_files(files, mode=mode, classify=True, keep_images=False)
+    return assemble_records(
+        records, masking=o.masking, heading_hierarchy=o.heading_hierarchy, emit_toc=o.emit_toc, emit_frontmatter=o.emit_frontmatter,
+        include_notes=o.include_notes, generator=o.generator,
+    )
+
+
 def convert_files(spark: SparkSession, paths: str | Iterable[str], options: ConvertOptions | None = None, *, mode: str = "PERMISSIVE") -> DataFrame:
     """(deck_id, markdown) of files, folders or globs."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths)
-    return to_markdown(split_records(parse_files(files, mode=mode)), options)
+    return convert_contents(spark.read.format("binaryFile").load(paths), options, mode=mode)
 
 
 def _session(spark: SparkSession | None) -> SparkSession:
@@ -90,12 +106,9 @@ def convert(source: str | Path, *, options: ConvertOptions | None = None, spark:
     if not path.is_file():
         raise ParseError(f"file not found: {path}")
     o = options or ConvertOptions()
-    files = spark.createDataFrame([(str(path), path.read_bytes())], "path STRING, content BINARY")
-    deck = split_records(parse_files(files).persist())
-    wrong = deck.errors.first()
-    if wrong is not None:
-        raise ParseError(wrong["error"])
-    row = to_markdown(deck, o).first()
+    data = path.read_bytes()
+    Package(data)  # what is no deck fails here
+    row = convert_contents(spark.createDataFrame([(str(path), data)], "path STRING, content BINARY"), o, mode="FAILFAST").first()
     text = row["markdown"] if row else ""
     if o.validate:
         result = validate_markdown(text, spark=spark)

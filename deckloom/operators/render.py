@@ -53,7 +53,30 @@ def render_slides(
     group follow the group's place in their own order.  One shuffle by slide;
     image bytes are never read.
     """
-    leaf = F.struct(
+    grouped = shapes.groupBy("deck_id", "slide_index").agg(F.sort_array(F.collect_list(_leaf(masking, table_fallback))).alias("shapes"))
+    rows = slides.join(grouped, ["deck_id", "slide_index"], "left")
+    return _rendered(rows, masking, heading_hierarchy)
+
+
+def render_records(
+    records: DataFrame, *, masking: MaskingOptions | None = None, table_fallback: str = "mermaid", heading_hierarchy: bool = False
+) -> DataFrame:
+    """As :func:`render_slides`, from the records of deck files: one pass over
+    the files and one shuffle.  A deck's own record gives a row without a
+    slide index, so that decks without slides stay."""
+    leaf = F.when(F.col("record") == "shape", _leaf(masking, table_fallback))
+    rows = records.where(F.col("record") != "error").groupBy("deck_id", "slide_index").agg(
+        F.max(F.when(F.col("record") == "slide", F.col("title"))).alias("title"),
+        F.max(F.when(F.col("record") == "slide", F.col("notes"))).alias("notes"),
+        F.lit(None).cast("string").alias("reconstructed_md"),
+        F.sort_array(F.collect_list(leaf)).alias("shapes"),
+    )
+    return _rendered(rows, masking, heading_hierarchy)
+
+
+def _leaf(masking: MaskingOptions | None, table_fallback: str) -> Column:
+    """What rendering needs of a shape, its path first."""
+    return F.struct(
         "path", "kind", "top", "left", "description", "alt_text", "classification",
         F.coalesce("is_title", F.lit(False)).alias("is_title"),
         F.coalesce("is_footer", F.lit(False)).alias("is_footer"),
@@ -61,9 +84,11 @@ def render_slides(
         (F.size("path") == 1).alias("on_top"),
         shape_part(masking, table_fallback).alias("part"),
     )
-    grouped = shapes.groupBy("deck_id", "slide_index").agg(F.sort_array(F.collect_list(leaf)).alias("shapes"))
-    rows = slides.join(grouped, ["deck_id", "slide_index"], "left")
-    empty = F.array().cast(grouped.schema["shapes"].dataType)
+
+
+def _rendered(rows: DataFrame, masking: MaskingOptions | None, heading_hierarchy: bool) -> DataFrame:
+    """Slides with their ``shapes``, in depth-first order, rendered."""
+    empty = F.array().cast(rows.schema["shapes"].dataType)
     rows = rows.withColumns(
         {
             "shapes": F.coalesce("shapes", empty),

@@ -48,13 +48,15 @@ def validate_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     unique.
     """
     source = F.coalesce(text, F.lit(""))
-    lines = documents.select(
+    # all that needs the whole text is computed below the explode, once a document
+    known = documents.select(
         F.col(doc_id).alias("doc_id"),
         is_blank(source).alias("blank_doc"),
         F.regexp_count(source, F.lit(FENCE)).alias("n_fences"),
         (F.length(source) - F.length(F.replace(source, F.lit(VERTICAL_TAB), F.lit("")))).alias("n_tabs"),
-        F.posexplode_outer(split_lines(source)).alias("pos", "line"),
+        split_lines(source).alias("lines"),
     )
+    lines = known.select("doc_id", "blank_doc", "n_fences", "n_tabs", F.posexplode_outer("lines").alias("pos", "line"))
     doc = Window.partitionBy("doc_id")
     upto = doc.orderBy("pos")
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
@@ -118,6 +120,9 @@ def validate_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     )
     filled = F.col("body") & ~F.col("fence") & ~F.col("cut") & (F.col("bare") != "")
     filled &= F.col("in_code") | (F.col("level").isNull() & ~F.col("comment"))
+    rows = rows.withColumn("filled", F.when(filled, F.col("block")))
+    rows = rows.withColumn("filled_before", F.max("filled").over(before))
+    opens_block = F.col("filled").isNotNull() & ~F.coalesce(F.col("filled_before") == F.col("filled"), F.lit(False))
     run = Window.partitionBy("doc_id", "island", "pipe")
     cells = row_cells(F.col("line"))
     rows = rows.withColumns({"cells": F.when(F.col("pipe"), cells), "nth": F.row_number().over(run.orderBy("pos"))})
@@ -160,7 +165,7 @@ def validate_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: st
         F.first("n_tabs").alias("n_tabs"),
         F.sort_array(F.flatten(F.collect_list(F.array_compact(notes)))).alias("notes"),
         F.sum(F.col("cut").cast("int")).alias("cuts"),
-        F.count_distinct(F.when(filled, F.col("block"))).alias("filled"),
+        F.count_if(opens_block).alias("filled"),
     )
     said = lambda rule_no: F.transform(F.filter("notes", lambda x: x["rule"] == rule_no), lambda x: x["message"])
     some = lambda when, message: F.when(when, F.array(message)).otherwise(F.array().cast("array<string>"))

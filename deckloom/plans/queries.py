@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.api import to_markdown
+from deckloom.api import convert_contents, to_markdown
 from deckloom.functions import headings, images, tables, text
 from deckloom.operators.assemble import assemble_documents, suppress_repeated_labels
 from deckloom.operators.complexity import complexity_scores, has_columns, route_slides
@@ -311,7 +311,8 @@ def _deck_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 contents.append(write_deck([first, second]))
             yield batch[["path"]].assign(content=contents)
 
-    return spec.mapInPandas(run, "path STRING, content BINARY")
+    # small rows that are costly to write and to parse: spread them first
+    return spec.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path STRING, content BINARY")
 
 
 @query
@@ -325,7 +326,13 @@ def deck_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def convert_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From packages to Markdown."""
+    """From packages to Markdown in one pass."""
+    return convert_contents(_deck_files(spark, sf_dir))
+
+
+@query
+def convert_deck_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of the deck, slide and shape tables."""
     return to_markdown(split_records(parse_files(_deck_files(spark, sf_dir))))
 
 

@@ -358,5 +358,8 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["convert_deck_tables"] = ORACLES["convert_decks"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

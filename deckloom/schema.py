@@ -17,15 +17,15 @@ SHAPE_FIELDS = (
     "fallback_text STRING, classification STRING, description STRING"
 )
 SHAPES = SHAPE_FIELDS
-#: One row of a deck file: a deck, a slide or a shape; ``record`` says which.
-RECORDS = (
-    "record STRING, source_path STRING, slide_width_emu BIGINT, slide_height_emu BIGINT, title STRING, notes STRING, "
-    f"{SHAPE_FIELDS}, error STRING"
-)
 IMAGE_FEATURES = (
     "STRUCT<width: INT, height: INT, aspect_ratio: DOUBLE, n_unique_colors: INT, color_fraction: DOUBLE, edge_density: DOUBLE, "
     "bg_fraction: DOUBLE, has_alpha: BOOLEAN>"
 )
+#: One row of a deck file: a deck, a slide or a shape; ``record`` says which.
+RECORDS = (
+    "record STRING, source_path STRING, slide_width_emu BIGINT, slide_height_emu BIGINT, title STRING, notes STRING, "
+    f"{SHAPE_FIELDS}, features {IMAGE_FEATURES}, error STRING"
+)
 
 
 def names(ddl: str) -> list[str]:

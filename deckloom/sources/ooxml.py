@@ -13,8 +13,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import Row
-
 from deckloom.errors import ParseError
 
 # Namespaces and names of the file format.
@@ -36,7 +34,7 @@ _EMPTY = {
     "kind": None, "shape_id": None, "name": None, "left": None, "top": None, "width": None, "height": None, "paragraphs": None,
     "is_title": None, "is_footer": None, "rows": None, "n_rows": None, "n_cols": None, "image_bytes": None, "image_format": None,
     "image_ext": None, "alt_text": None, "mso_shape_type": None, "fallback_text": None, "classification": None, "description": None,
-    "error": None,
+    "features": None, "error": None,
 }
 
 
@@ -226,7 +224,7 @@ class _Slide:
         for p in shape.findall(f"{P}txBody/{A}p"):
             settings = p.find(A + "pPr")
             paragraphs.append((_paragraph_text(p, breaks=False), _number(settings.get("lvl")) if settings is not None else 0))
-        return {"paragraphs": [Row(text=t, level=n) for t, n in paragraphs], "is_title": title, "is_footer": footer}
+        return {"paragraphs": [{"text": t, "level": n} for t, n in paragraphs], "is_title": title, "is_footer": footer}
 
     def table(self, shape: ElementTree.Element) -> dict:
         grid = shape.find(f"{A}graphic/{A}graphicData/{A}tbl")

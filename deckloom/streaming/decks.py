@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from deckloom.api import ConvertOptions, to_markdown
-from deckloom.sources.decks import parse_files, split_records
+from deckloom.api import ConvertOptions, convert_contents
 
 FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -33,8 +32,7 @@ def convert_stream(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        documents = to_markdown(split_records(parse_files(batch)), options)
-        documents.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        convert_contents(batch, options).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
