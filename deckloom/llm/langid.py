@@ -247,6 +247,23 @@ def identify_pages(pages: DataFrame, *, settings: Fusion | None = None) -> DataF
     return rows.select("page_id", "url", "host", "declared", "text_language", "language", "confidence", "accepted")
 
 
+def identify_documents(docs: DataFrame, *, settings: Fusion | None = None) -> DataFrame:
+    """Language of every document: doc_id, source, declared, text_language,
+    language, confidence, accepted.
+
+    ``lang`` is what a document declares and ``source`` stands for its host.
+    Null and empty texts have no text language and are not accepted; null
+    sources take the world's prior.  Rows are never merged; other columns are
+    ignored; an empty table gives no rows.
+    """
+    copy = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("lang")).alias("declared"), F.col("source").alias("host"), F.col("text").alias("text")
+    )
+    model = fit_text_model(docs, text="text", declared="lang", row_id="doc_id")
+    rows = fuse(_likelihoods(copy, model, "text"), model.languages, settings)
+    return rows.select("doc_id", F.col("host").alias("source"), "declared", "text_language", "language", "confidence", "accepted")
+
+
 def accepted_documents(docs: DataFrame, *, settings: Fusion | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is accepted: the
     declared language is ``lang``, and ``source`` stands for the host."""

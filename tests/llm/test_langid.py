@@ -2,10 +2,12 @@ from deckloom.llm import langid
 from deckloom.llm.queries import op4_langid, table
 
 
-def test_pages(spark, sf_dir):
+def test_pages_and_documents(spark, sf_dir):
     rows = op4_langid(spark, sf_dir).collect()
-    assert len(rows) == table(spark, sf_dir, "pages").count()
-    assert sum(r["language"] == r["declared"] for r in rows) >= 0.95 * len(rows)
+    pages, docs = table(spark, sf_dir, "pages").count(), table(spark, sf_dir, "documents").count()
+    assert (sum(r["page_id"] is not None for r in rows), sum(r["page_id"] is None for r in rows)) == (pages, docs)
+    assert sum(r["language"] == r["declared"] for r in rows) >= 0.9 * len(rows)
+    assert all(r["doc_id"] is not None for r in rows)
 
 
 def test_evidence_is_fused(spark):
@@ -40,5 +42,7 @@ def test_odd_rows(spark, odd_documents, no_documents):
     kept = langid.accepted_documents(odd_documents)
     assert kept.schema == odd_documents.schema
     assert {r["doc_id"] for r in kept.collect()} >= {1, 5, 6} and not {2, 3, 4} & {r["doc_id"] for r in kept.collect()}
-    assert langid.accepted_documents(no_documents).count() == 0
+    every = {r["doc_id"]: r for r in langid.identify_documents(odd_documents).collect()}
+    assert not every[2]["accepted"] and every[2]["text_language"] is None and every[1]["language"] == "en"
+    assert langid.accepted_documents(no_documents).count() == 0 and langid.identify_documents(no_documents).count() == 0
     assert langid.identify_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
