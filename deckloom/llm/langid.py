@@ -68,14 +68,15 @@ class TextModel:
 
 
 def fit_text_model(
-    rows: DataFrame, *, text: str, declared: str, row_id: str, training_rows: int = 8000, least: float = 0.01, most: int = 64
+    rows: DataFrame, *, text: str, declared: str, row_id: str, training_rows: int = 8000, least: float = 0.01, most: int = 64, trigrams: int = 200
 ) -> TextModel:
     """Learn trigrams from about ``training_rows`` rows, picked by a hash of
     their id, taking the declared languages as labels.
 
     Languages are the declared values that at least ``least`` of the picked
-    rows name, the ``most`` commonest at most; scattered wrong declarations
-    only add a little noise.  Without such rows the model knows no language.
+    rows name and that have ``trigrams`` trigrams, the ``most`` commonest at
+    most; scattered wrong declarations only add a little noise.  Without such
+    rows the model knows no language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +98,11 @@ def fit_text_model(
     every = max(1, labelled.count() // training_rows)
     picked = labelled.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(every)) == 0).select("language", "text")
     counts = materialise(picked.mapInArrow(run, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    heads = counts.where("bucket = -1")
+    heads = counts.groupBy("language").agg(
+        F.sum(F.when(F.col("bucket") < 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)).alias("size")
+    )
     total = heads.agg(F.sum("n")).first()[0] or 0
-    common = heads.where(F.col("n") >= least * total).orderBy(F.desc("n"), "language").limit(most).collect()
+    common = heads.where((F.col("n") >= least * total) & (F.col("size") >= trigrams)).orderBy(F.desc("n"), "language").limit(most).collect()
     languages = tuple(sorted(r["language"] for r in common))
     table = np.full((BUCKETS, len(languages)), 0.2)
     for r in counts.where(F.col("language").isin(*languages) & (F.col("bucket") >= 0)).toLocalIterator() if languages else ():

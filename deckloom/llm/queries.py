@@ -42,7 +42,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, with the document number that ends their address, and documents,
     each table by its own evidence."""
-    number = F.regexp_extract("url", r"/(\d{1,18})(?:[?#].*)?$", 1)
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:\.html?|/)?(?:[?#].*)?$", 1)
     pages = langid.identify_pages(table(spark, sf_dir, "pages")).withColumn("doc_id", F.nullif(number, F.lit("")).cast("long"))
     docs = langid.identify_documents(table(spark, sf_dir, "documents")).withColumnRenamed("source", "host")
     return pages.unionByName(docs, allowMissingColumns=True)
