@@ -92,6 +92,7 @@ def mix_sources(
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("key"),
     )
     order = [F.col("source"), F.col("key"), F.col("doc_id"), F.col("size")]
+    rows = materialise(rows, "mix-sizes")  # texts are read once; what follows moves sizes alone
     rows = materialise(
         rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-rows"
     ).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
