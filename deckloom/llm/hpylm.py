@@ -54,8 +54,8 @@ class PitmanYor:
     samples: int = 4
     between: int = 2  # sweeps from one sample to the next
     reseated: int = 4  # customers of a dish that a sweep reseats, at most
-    block_tokens: int = 1_000_000
-    shard_bytes: int = 8 << 20
+    block_tokens: int = 600_000
+    shard_bytes: int = 5 << 20
     least_shards: int = 64
     seed: int = 3
 
