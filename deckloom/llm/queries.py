@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.llm import ann, chat, html_extract, hpylm, langid, media, mixing, neardup, packing, quality
+from deckloom.llm import ann, chat, html_extract, hpylm, langid, media, mixing, neardup, packing, quality, store
 from deckloom.llm.sql import ORACLES
 
 
@@ -61,7 +61,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what the queries have materialised."""
+    store.clean(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,8 +1,16 @@
 import pytest
 
+from deckloom.llm import store
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, label string, words array<int>"
 
 
+@pytest.fixture(scope="session", autouse=True)
+def clean_tables(spark):
+    yield
+    store.clean(spark)
+
+
 @pytest.fixture(scope="session")
 def odd_documents(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows,
