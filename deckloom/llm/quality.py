@@ -145,12 +145,14 @@ class FactorisationMachine:
 
 
 def train(
-    index: np.ndarray, values: np.ndarray, counts: np.ndarray, labels: np.ndarray, *, rank: int = 8, epochs: int = 8, seed: int = 7
+    index: np.ndarray, values: np.ndarray, counts: np.ndarray, labels: np.ndarray, *, rank: int = 8, epochs: int | None = None, seed: int = 7
 ) -> FactorisationMachine:
-    """Logistic loss by Adagrad over mini-batches, with weight decay.
+    """Logistic loss by Adagrad over mini-batches, with weight decay; small
+    samples are passed more often, so that all are learnt as well.
 
     Without examples every text scores one half.
     """
+    epochs = epochs or int(np.clip(30_000 / max(1, len(labels)), 8, 80))
     rng = np.random.default_rng(seed)
     linear = np.zeros(N_FEATURES, np.float32)
     factors = rng.normal(0, 0.05, (N_FEATURES, rank)).astype(np.float32)
