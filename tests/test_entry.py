@@ -23,7 +23,7 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, sf_dir, duck, name):
-    got, want = QUERIES[name](spark, sf_dir).toArrow(), duck.execute(ORACLES[name]).to_arrow_table()
+    got, want = QUERIES[name](spark, sf_dir).toArrow(), duck.sql(ORACLES[name]).to_arrow_table()
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     rows = lambda t: sorted(map(repr, zip(*[t[c].to_pylist() for c in columns], strict=True)))
