@@ -27,12 +27,17 @@ _log = logging.getLogger("deckloom")
 
 @dataclass(frozen=True)
 class ConvertOptions:
-    """What a conversion does; all of it is off unless asked for."""
+    """What a conversion does; all of it is off unless asked for.
+
+    ``describe_max_workers`` bounds the tasks that call the describer over all
+    decks (none: as many as there are cores), ``reconstruct_max_workers`` the
+    calls for one deck at a time.
+    """
 
     describer: ImageDescriber | None = None
     masking: MaskingOptions | None = None
     validate: bool = False
-    describe_max_workers: int = 4
+    describe_max_workers: int | None = None
     diagram_mermaid: bool = False
     heading_hierarchy: bool = False
     emit_toc: bool = False
@@ -67,6 +72,7 @@ def to_markdown(deck: Deck, options: ConvertOptions | None = None) -> DataFrame:
         slides = reconstruct_slides(
             deck.decks, slides, shapes, o.reconstructor, renderer=o.renderer, max_slides=o.max_vlm_slides,
             force_render=o.force_render, force_text=o.force_text, embed=o.embed_rendered_image, render_dpi=o.render_dpi,
+            max_workers=o.reconstruct_max_workers,
         )
     return assemble_documents(
         slides, shapes, masking=o.masking, heading_hierarchy=o.heading_hierarchy, emit_toc=o.emit_toc,

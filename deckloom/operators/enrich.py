@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -102,12 +103,14 @@ def reconstruct_slides(
     force_text: Iterable[int] = (),
     embed: bool = False,
     render_dpi: int = DPI,
+    max_workers: int = 4,
 ) -> DataFrame:
     """``slides`` with ``reconstructed_md`` filled for those that are routed,
     rendered and reconstructed; all others are as they were.
 
     A deck's selected slides are rendered by one call and reconstructed by one
-    call for each distinct render, whose first slide gives the context.  No-op
+    call for each distinct render, whose first slide gives the context, at
+    most ``max_workers`` of a deck at a time.  No-op
     without a reconstructor or where decks cannot be rendered; ``available``
     tells that, and counts as true for a renderer other than the default.
     """
@@ -130,20 +133,19 @@ def reconstruct_slides(
     def run(deck: pd.DataFrame) -> pd.DataFrame:
         deck = deck.sort_values("slide_index")
         pngs = renderer(deck["source_path"].iloc[0], deck["slide_index"].tolist(), dpi=render_dpi)
-        texts: dict[str, str | None] = {}
-        out: list[tuple[Any, ...]] = []
-        for row in deck.itertuples():
-            png = pngs.get(row.slide_index)
-            if png is None:
-                continue
-            key = hashlib.sha256(png).hexdigest()
-            if key not in texts:
-                try:
-                    texts[key] = reconstructor.reconstruct(png, "png", SlideContext(row.slide_index, row.title, row.markdown)) or None
-                except Exception:  # this render falls back to text
-                    texts[key] = None
-            if texts[key] is not None:
-                out.append((row.deck_id, row.slide_index, texts[key], png if embed else None))
+        rows = [(r, png, hashlib.sha256(png).hexdigest()) for r in deck.itertuples() if (png := pngs.get(r.slide_index)) is not None]
+        first = {key: (r, png) for r, png, key in reversed(rows)}
+
+        def call(job: tuple[Any, bytes]) -> str | None:
+            r, png = job
+            try:
+                return reconstructor.reconstruct(png, "png", SlideContext(r.slide_index, r.title, r.markdown)) or None
+            except Exception:  # this render falls back to text
+                return None
+
+        with ThreadPoolExecutor(max(1, min(max_workers, len(first)))) as pool:
+            texts = dict(zip(first, pool.map(call, first.values()), strict=True))
+        out = [(r.deck_id, r.slide_index, texts[key], png if embed else None) for r, png, key in rows if texts[key] is not None]
         return pd.DataFrame(out, columns=["deck_id", "slide_index", "found", "png"])
 
     found = work.groupBy("deck_id").applyInPandas(run, "deck_id STRING, slide_index INT, found STRING, png BINARY")
@@ -152,6 +154,15 @@ def reconstruct_slides(
     return joined.withColumn("reconstructed_md", F.coalesce("found", "reconstructed_md")).select(*slides.columns)
 
 
+def reconstruction_metrics(routed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(deck_id, routed, success, fallback) of a reconstruction: counts alone,
+    never content."""
+    key = ["deck_id", "slide_index"]
+    done = after.where("reconstructed_md IS NOT NULL").join(before.where("reconstructed_md IS NOT NULL"), key, "left_anti").select(*key, F.lit(1).alias("ok"))
+    counts = routed.select(*key).join(done, key, "left").groupBy("deck_id")
+    return counts.agg(F.count("*").alias("routed"), F.count("ok").alias("success"), (F.count("*") - F.count("ok")).alias("fallback"))
+
+
 def description_metrics(shapes: DataFrame) -> DataFrame:
     """(deck_id, images, calls, cache_hits): counts alone, never content."""
     groups = image_groups(shapes).groupBy("deck_id")
@@ -159,5 +170,5 @@ def description_metrics(shapes: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "described", "description_metrics", "enrich_descriptions", "image_groups", "is_vector", "reconstruct_slides",
+    "described", "description_metrics", "enrich_descriptions", "image_groups", "is_vector", "reconstruct_slides", "reconstruction_metrics",
 ]

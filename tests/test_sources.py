@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deckloom import ConvertOptions, ParseError, convert, convert_files, get_describer
 from deckloom.api import to_markdown
 from deckloom.operators.complexity import complexity_scores
-from deckloom.operators.enrich import description_metrics, enrich_descriptions
+from deckloom.operators.enrich import description_metrics, enrich_descriptions, reconstruct_slides, reconstruction_metrics
 from deckloom.providers import ImageDescriber, SlideReconstructor
 from deckloom.sources import convert as office
 from deckloom.sources import pixels
@@ -120,6 +120,9 @@ def test_routing_and_reconstruction(spark):
     part = "## Slide {n}\n\n### 구조화 재구성 (slide {i})\n\n| 항목 | 값 |\n| --- | --- |\n| 신호 | slide-{i} |\n\n\n---\n\n"
     want = "".join(part.format(n=i + 1, i=i) for i in range(3)) + "## 요약\n\n첫째 항목\n둘째 항목"
     assert to_markdown(deck, options).first()["markdown"] == want
+    before, after = deck.slides, reconstruct_slides(deck.decks, deck.slides, deck.shapes, Rebuild(), renderer=renderer, max_slides=2, max_workers=9)
+    routed = complexity_scores(deck.slides, deck.shapes).where("is_complex")
+    assert reconstruction_metrics(routed, before, after).first()[:] == ("d", 3, 2, 1)
     failing = lambda path, indices, dpi=150: {0: None, 1: b"bad", 2: b"same"}
     text = to_markdown(deck, ConvertOptions(visual_reconstruct=True, reconstructor=Rebuild(), renderer=failing, embed_rendered_image=True)).first()["markdown"]
     assert text.count("구조화") == 1 and "data:image/png;base64,c2FtZQ==" in text and "AS-IS" in text
