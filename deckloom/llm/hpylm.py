@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.llm.store import discard, materialise
-from deckloom.llm.text import mix, word_hashes
+from deckloom.llm.text import mix, text_slices, word_hashes
 
 #: The hash of the token that ends a text; no word has it, up to a collision.
 END = np.uint64(0xE0D0_F7E0_7000_0001)
@@ -167,18 +167,16 @@ def _to_blocks(docs: DataFrame, model: PitmanYor, n_shards: int) -> DataFrame:
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["kind", "shard", "block", "body"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                words, counts = word_hashes(part.column(2))
-                ids = np.array([*part.column(0).to_pylist(), None], object)[:-1]
-                held = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-                for kept, new in zip(held_now, (ids, held, words, counts), strict=True):
-                    kept.append(new)
-                size += len(words) + len(counts)
-                if size >= model.block_tokens:
-                    yield flush()
-                    number, held_now, size = number + 1, ([], [], [], []), 0
+        for part in text_slices(batches, 2):
+            words, counts = word_hashes(part.column(2))
+            ids = np.array([*part.column(0).to_pylist(), None], object)[:-1]
+            held = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for kept, new in zip(held_now, (ids, held, words, counts), strict=True):
+                kept.append(new)
+            size += len(words) + len(counts)
+            if size >= model.block_tokens:
+                yield flush()
+                number, held_now, size = number + 1, ([], [], [], []), 0
         if held_now[0]:
             yield flush()
 

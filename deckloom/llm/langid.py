@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from deckloom.llm.html_extract import host_of, parse
 from deckloom.llm.store import materialise
-from deckloom.llm.text import column_bytes
+from deckloom.llm.text import column_bytes, text_slices
 
 BUCKETS = 1 << 14
 #: Bytes by class: letters keep a lower-case value, all else is a gap of 0.
@@ -80,7 +80,7 @@ def fit_text_model(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             bucket, counts = _trigrams(batch.column(1))
             names, index = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
             owner = np.repeat(index, counts).astype(np.int64)
@@ -200,14 +200,12 @@ def _likelihoods(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, n_trigrams long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                values, counts = model.likelihoods(part.column(at))
-                width = len(model.languages)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * width, pa.int32()), pa.array(values.ravel()))
-                columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.record_batch([*columns, lists, pa.array(counts)], [*[f.name for f in kept], "likelihood", "n_trigrams"])
+        for part in text_slices(batches, at):
+            values, counts = model.likelihoods(part.column(at))
+            width = len(model.languages)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * width, pa.int32()), pa.array(values.ravel()))
+            columns = [c for i, c in enumerate(part.columns) if i != at]
+            yield pa.record_batch([*columns, lists, pa.array(counts)], [*[f.name for f in kept], "likelihood", "n_trigrams"])
 
     return rows.mapInArrow(run, schema)
 

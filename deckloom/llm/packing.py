@@ -34,11 +34,7 @@ class ByteBpe:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self._exact = Tokenizer.from_file(path)
-        self._exact.encode_special_tokens = True
+        self._path, self._exact = path, None
         with open(path, encoding="utf-8") as f:
             ranks = self._ranks(json.load(f))
         self._quick = None
@@ -76,6 +72,12 @@ class ByteBpe:
         return ranks
 
     def exact(self, text: str) -> bytes:
+        if self._exact is None:  # a large object that most tasks never need
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self._path)
+            self._exact.encode_special_tokens = True
         return np.array(self._exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.text import column_bytes, spans, word_hashes
+from deckloom.llm.text import column_bytes, spans, text_slices, word_hashes
 
 #: Buckets that words are hashed to.
 BUCKETS = 1 << 13
@@ -214,7 +214,7 @@ def fit_quality(
     extra = [F.col(declared).cast("double").alias("__declared")] if declared else []
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 2):
             index, values, counts = features(batch.column(2), batch.column(3) if declared else None)
             ends = np.concatenate([[0], np.cumsum(counts)])
             cut = lambda a: pa.LargeBinaryArray.from_buffers(
@@ -253,12 +253,9 @@ def score_quality(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                scores[at : at + 1024] = model.score(*features(part.column(2), part.column(3) if declared else None))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores)], ["doc_id", "held_out", "score"])
+        for part in text_slices(batches, 2):
+            scores = model.score(*features(part.column(2), part.column(3) if declared else None))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(scores)], ["doc_id", "held_out", "score"])
 
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -275,10 +272,8 @@ def keep_quality(docs: DataFrame, model: FactorisationMachine, *, text: str = "t
     at, declared_at = docs.columns.index(text), docs.columns.index(declared) if declared in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                known = part.column(declared_at) if declared_at is not None else None
-                yield part.filter(pa.array(model.score(*features(part.column(at), known)) >= threshold))
+        for part in text_slices(batches, at):
+            known = part.column(declared_at) if declared_at is not None else None
+            yield part.filter(pa.array(model.score(*features(part.column(at), known)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

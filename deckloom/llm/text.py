@@ -7,6 +7,8 @@ character lies in those ranges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -82,6 +84,19 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 BLOCK = 1 << 20
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows of Arrow batches in slices of about ``size`` bytes of text (one
+    row at least), which bounds what array operations over them hold."""
+    for batch in batches:
+        _, offsets = column_bytes(batch.column(column))
+        first = 0
+        while first < batch.num_rows:
+            upto = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
+            upto = min(batch.num_rows, first + 4096, max(upto, first + 1))
+            yield batch.slice(first, upto - first)
+            first = upto
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a column's texts, in order, and the number of
     words of each text."""
