@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from deckloom.llm.graph import components
 from deckloom.llm.store import materialise
-from deckloom.llm.text import mix, shingle_hashes, word_hashes
+from deckloom.llm.text import mix, shingle_hashes, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class NearDuplicates:
     recall: float = 0.9999
     node: int = 2048  # most members compared in one task
     rounds: int = 6
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 250_000
     seed: int = 20
 
     def _survival(self) -> float:
@@ -120,15 +120,9 @@ def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, list[by
     return sets, sizes, digests
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _sketches(docs: DataFrame, s: NearDuplicates) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in text_slices(batches, 1):
             sets, sizes, digests = _sets(batch.column(1), s.width)
             some = np.flatnonzero(sizes)
             full = s.signatures(sets, sizes[some])
@@ -155,7 +149,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, s: NearDuplicates) -> DataFra
     texts are read again, since most sets are never needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in text_slices(batches, 1):
             sets, sizes, digests = _sets(batch.column(1), s.width)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             own = [sets[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -172,7 +166,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFram
     """The links (a, b) among candidate pairs, by full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 512):
+        for batch in text_slices(batches, 2):
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array([s.linked(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
@@ -244,7 +238,7 @@ def _deeper(rows: DataFrame, s: NearDuplicates, salt: int) -> DataFrame:
     """Large nodes (path, digest, short) branched further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in text_slices(batches, 2):
             short = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             start = batch.column(0).to_numpy().view(np.uint64)
             row, path = s.paths(short, start, salt)
@@ -351,14 +345,20 @@ def drop_near_duplicates(
     schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in text_slices(batches, at):
             _, _, digests = _sets(batch.column(at), s.width)
             yield pa.record_batch([*batch.columns, pa.array(digests, pa.binary())], schema.names)
 
     judged = near_duplicates(docs, doc_id=doc_id, text=text, settings=s)
-    stay = judged.where("kept AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("__id"))
+    stay = judged.where("kept AND digest IS NOT NULL").groupBy("digest")
+    stay = materialise(stay.agg(F.min("doc_id").alias("__id"), F.count("*").alias("__rows")), "stay")
+    few = F.broadcast if stay.count() <= s.broadcast_rows else lambda df: df  # 24 bytes each
     known = docs.mapInArrow(run, schema)
-    wordless = known.where("__digest IS NULL").select(*names)
-    same = (known["__digest"] == stay["digest"]) & known[doc_id].cast("long").eqNullSafe(stay["__id"])
-    rows = known.join(stay, same).dropDuplicates(["__digest"]).select(*names)
-    return rows.unionByName(wordless)
+    mine = known[doc_id].cast("long").eqNullSafe(F.col("__id")) & F.col("digest").isNotNull()
+    rows = known.join(few(stay), known["__digest"] == stay["digest"], "left")
+    kept = rows.where(F.col("__digest").isNull() | (mine & (F.col("__rows") == 1))).select(*names)
+    if stay.where("__rows > 1").isEmpty():
+        return kept
+    repeated = stay.where("__rows > 1")
+    rows = known.join(few(repeated), known["__digest"] == repeated["digest"]).where(mine)
+    return kept.unionByName(rows.dropDuplicates(["__digest"]).select(*names))
