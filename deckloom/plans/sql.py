@@ -177,9 +177,6 @@ _structured = "text"
 for _old, _new in STRUCTURE:
     _structured = f"replace({_structured}, {_quoted(_old)}, {_quoted(_new)})"
 
-CELLS_OF = (
-    "list_transform(string_split({x}, '|'), lambda c: replace(c, chr(1), '|'))"
-)
 BARE = strip("line")
 _ROW = f"string_split(replace({BARE}, '\\|', chr(1)), '|')"
 ROW_CELLS = f"list_slice({_ROW}, 1 + ({_ROW}[1] = '')::INT, len({_ROW}) - (len({_ROW}) > 1 AND {_ROW}[-1] = '')::INT)"
