@@ -181,7 +181,9 @@ def nearest(
     """
     model = model or Projections()
     spark = rows.sparkSession
-    rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asks"))
+    kind = rows.schema[vector].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # moved as stored, computed in double
+    rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), queries.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & _usable(F.col("v")))
     shapes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
     shape = shapes.orderBy(F.desc("n"), "d").limit(1).collect()
@@ -190,6 +192,7 @@ def nearest(
     dimension = shape[0]["d"]
     rows = rows.where(F.size("v") == dimension).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     points = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.max("asks").alias("asks"))
+    points = materialise(points, "points")
     sample = _vectors(points.orderBy("k1", "k2").limit(model.sample).select("v").toArrow()["v"])
     n, n_queries = points.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     depth = max(0, math.ceil(math.log2(max(1, min(n / model.block, model.most_cells)))))
@@ -202,7 +205,7 @@ def nearest(
             spot = pa.FixedSizeListArray.from_arrays(pa.array(spots.ravel()), model.directions).cast(pa.list_(pa.float64()))
             yield pa.record_batch([*batch.columns, pa.array(_cells(spots, splits).astype(np.int32)), spot], [*batch.schema.names, "cell", "spot"])
 
-    kept = "k1 long, k2 long, rep long, v array<double>, asks boolean"
+    kept = f"k1 long, k2 long, rep long, v {kind}, asks boolean"
     index = points.select("k1", "k2", "rep", "v", "asks").mapInArrow(route, f"{kept}, cell int, spot array<double>")
     index = materialise(index.withColumn("sub", F.pmod("k2", F.lit(subs)).cast("int")), "index")
     edges = [f(F.col("spot")[i]).alias(f"{name}{i}") for name, f in (("l", F.min), ("h", F.max)) for i in range(model.directions)]
@@ -239,7 +242,7 @@ def nearest(
             yield pa.record_batch([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     todo = asked.select("k1", "k2", "v").join(bounds, ["k1", "k2"]).select("k1", "k2", "v", "worst")
-    todo = todo.mapInArrow(allowed, "k1 long, k2 long, v array<double>, worst double, cells array<int>")
+    todo = todo.mapInArrow(allowed, f"k1 long, k2 long, v {kind}, worst double, cells array<int>")
     todo = todo.withColumn("part", part).withColumn("cell", F.explode("cells"))
     todo = todo.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))).drop("cells")
 
