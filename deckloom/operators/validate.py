@@ -57,6 +57,8 @@ def validate_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: st
         split_lines(source).alias("lines"),
     )
     lines = known.select("doc_id", "blank_doc", "n_fences", "n_tabs", F.posexplode_outer("lines").alias("pos", "line"))
+    # lines are small but windows over them are not cheap: keep all partitions
+    lines = lines.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     doc = Window.partitionBy("doc_id")
     upto = doc.orderBy("pos")
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
