@@ -14,6 +14,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+#: Bytes of a row group.
+ROW_GROUP = 16 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,15 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+def _while_writing(spark: SparkSession) -> Iterator[None]:
     """Queries run inside leave no shuffle files once they are done: what they
-    wrote is read from now on, and never their shuffles."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wrote is read from now on, and never their shuffles.  The few parts of a
+    table are written side by side rather than after a sort."""
+    own = {_CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, value in own.items():
+        spark.conf.set(k, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -49,8 +55,9 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deckloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    with _shuffle_files_removed(spark):
+    # rows may hold bodies of megabytes: small row groups bound what tasks hold
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    with _while_writing(spark):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._materialised_at = path
