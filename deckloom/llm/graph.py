@@ -24,21 +24,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b", broadcast_labels: i
     is written out; only numbers of labels come to the driver.
     """
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    n = links.count()
+    files = max(1, -(-4 * n // FILE_ROWS))  # few rows need few tasks and files
     both = F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("uv", "vu", "uu", "vv")]))
-    both = materialise(links.select(both.alias("e")).select("e.u", "e.v"), "links")
+    both = materialise(links.select(both.alias("e")).select("e.u", "e.v").coalesce(files), "links")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    labels = materialise(labels, "labels")
-    n = labels.count()
-    files = max(1, -(-n // FILE_ROWS))
-    few = F.broadcast if n <= broadcast_labels else lambda df: df
+    labels = materialise(labels.coalesce(files), "labels")
+    few = F.broadcast if labels.count() <= broadcast_labels else lambda df: df
     while True:
         near = both.join(few(labels), both.v == labels.node).groupBy("u")
         near = near.agg(F.min("label").alias("next"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old"))
-        step = materialise(near.coalesce(files) if files < 50 else near, "step")
+        step = materialise(near.coalesce(files), "step")
         far = step.select(F.col("u").alias("at"), F.col("next").alias("far"))
         jumped = step.join(few(far), step.next == far.at, "left")
         jumped = jumped.select(F.col("u").alias("node"), F.coalesce("far", "next").alias("label"), "old")
-        labels = materialise(jumped, "labels")
+        labels = materialise(jumped.coalesce(files), "labels")
         done = labels.where("label != old").isEmpty()
         labels = labels.select("node", "label")
         if done:
