@@ -4,18 +4,18 @@ Every context (the class of the word before, or a text's start) is a
 restaurant whose customers are the tokens that follow it and whose dishes are
 words; all context restaurants share one parent, whose customers are their
 tables, and the parent's base is uniform over the words and one unknown.
-Seating is sampled by Gibbs: a customer leaves its table, which closes if they
-sat alone, and is seated again by the Chinese-restaurant rule.  A dish's state
-is its customers and its tables; whether a leaving customer sat alone has the
-exact chance given both, from generalised Stirling numbers.  Scores use
-predictive probabilities averaged over samples of the seating.
+Seating is sampled by Gibbs, every customer in every sweep.  A dish's state is
+its customers and its tables; its tables given all else have a distribution of
+generalised Stirling numbers, from which all its customers are reseated at once:
+exactly in dishes of up to 128 customers, by a fitted binomial in larger ones.
+Scores use predictive probabilities averaged over samples of the seating.
 
 Spread over a cluster: texts are read once, in blocks of a bounded number of
 tokens; each block sends its distinct words, with their contexts and training
 counts, to shards of the vocabulary by ranges of the word's hash.  A shard has
 all customers of its dishes, in every restaurant, and of their parent dishes;
 only the restaurants' totals of tables cross shards, one number per restaurant
-and sample, frozen during a round.  Answers return to the blocks aligned with
+and sample, frozen during a round and summed again after it.  Answers return to the blocks aligned with
 what they asked.  So what moves is proportional to distinct words of blocks, a
 frequent word costs one entry a block, and no task holds a key's whole rows.
 """
@@ -51,9 +51,9 @@ class PitmanYor:
     parent_discount: float = 0.8
     parent_strength: float = 2.0
     burn_in: int = 6
+    round: int = 2  # sweeps of burn-in from one sum of the restaurants' totals to the next
     samples: int = 4
     between: int = 2  # sweeps from one sample to the next
-    reseated: int = 4  # customers of a dish that a sweep reseats, at most
     block_tokens: int = 600_000
     shard_bytes: int = 5 << 20
     least_shards: int = 64
@@ -184,8 +184,10 @@ def _to_blocks(docs: DataFrame, model: PitmanYor, n_shards: int) -> DataFrame:
 
 
 class _Stirling:
-    """Chance that one of c customers at t tables sits alone: S(c-1, t-1) /
-    S(c, t); exact up to ``top`` customers, by its limit form beyond."""
+    """Generalised Stirling numbers S(c, t), as logs, up to ``top`` customers,
+    and the chance that one of c customers at t tables sits alone: S(c-1, t-1)
+    / S(c, t).  Beyond ``top`` that chance is the share of ones among table
+    sizes drawn alike, with weights z ** size, whose mean is c / t."""
 
     def __init__(self, discount: float, top: int = 128):
         s = np.full((top + 1, top + 1), -np.inf)
@@ -197,14 +199,18 @@ class _Stirling:
                 s[c + 1, 1:] = np.logaddexp(s[c, :-1], stay)
         with np.errstate(invalid="ignore"):
             alone = np.exp(s[:-1, :-1] - s[1:, 1:])
-        self.table = np.nan_to_num(np.clip(alone, 0, 1), nan=1.0)
+        self.log, self.table = s, np.nan_to_num(np.clip(alone, 0, 1), nan=1.0)
         self.top, self.discount = top, discount
+        u = np.exp(-np.concatenate([np.geomspace(1e-6, 1, 2000), np.linspace(1, 600, 6000)[1:]]))  # 1 - z
+        self.ones = (1 - u) * discount / (1 - u**discount)
+        self.log_mean = np.log(self.ones) - (1 - discount) * np.log(u)
 
     def alone(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         small = customers <= self.top
         c, t = np.where(small, customers, 1), np.where(small, tables, 1)
-        far = np.minimum(1, self.discount * (tables - 1) / np.maximum(customers - 1, 1))
-        return np.where(small, self.table[c - 1, t - 1], far)
+        share = np.maximum(tables - 1, 0) / np.maximum(customers - 1, 1)
+        far = share * np.interp(-np.log(np.maximum(share, 1e-300)), self.log_mean, self.ones)
+        return np.where(small, self.table[c - 1, t - 1], np.minimum(far, 1))
 
 
 def _sit_down(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -222,17 +228,47 @@ def _sit_down(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> n
         n += max(1, n // 8) if n >= 64 else 1
 
 
-def _sweep(customers, tables, new, discount, stirling, times, rng) -> np.ndarray:
-    """Reseat up to ``times`` customers of every dish of two or more."""
-    for k in range(times):
-        at = np.flatnonzero(customers > max(1, k))
-        c, t = customers[at], tables[at].astype(np.int64)
-        t = t - (rng.random(len(at)) < stirling.alone(c, t))
-        old = np.maximum(c - 1 - discount * t, 0) * (t > 0)
-        tables[at] = t + (rng.random(len(at)) * (old + new[at]) < new[at])
+def _sweep(customers, tables, new, stirling, rng) -> np.ndarray:
+    """Reseat every customer of every dish; ``new`` is the weight of a new
+    table.  Tables are drawn from their distribution, S(c, t) new ** t: as it
+    is up to ``stirling.top`` customers, by a binomial beyond."""
+    at = np.flatnonzero(customers > 1)
+    size = np.minimum(customers[at], stirling.top + 1).astype(np.int16)
+    at = at[np.argsort(size, kind="stable")]
+    cuts = np.searchsorted(np.sort(size, kind="stable"), np.arange(2, stirling.top + 2))
+    for c, x, y in zip(range(2, stirling.top + 1), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if y > x:
+            weight = stirling.log[c, 1 : c + 1] + np.log(new[at[x:y]])[:, None] * np.arange(c)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
+            tables[at[x:y]] = 1 + (weight[:, :-1] <= rng.random(y - x)[:, None] * weight[:, -1:]).sum(axis=1)
+    many = at[cuts[-1] :]
+    if len(many):
+        tables[many] = _many(customers[many], new[many], stirling, rng)
     return tables
 
 
+def _many(customers: np.ndarray, new: np.ndarray, stirling: _Stirling, rng) -> np.ndarray:
+    """Tables of dishes of many customers: the tables after the first are
+    binomial, fitted to how S(c, t + 1) / S(c, t) * new goes around the mode."""
+    c = customers.astype(np.int64)
+
+    def odds(t):  # of t + 1 tables against t
+        stay = np.maximum(1 - stirling.alone(c, t), 0)
+        return new * stay / (np.maximum(c - 1 - stirling.discount * t, 1e-9) * stirling.alone(c, np.minimum(t + 1, c)))
+
+    low, high = np.ones(len(c), np.int64), c - 1  # the mode, or one before it
+    while (open_ := low < high).any():
+        middle = (low + high + 1) // 2
+        up = odds(middle) >= 1
+        low, high = np.where(open_ & up, middle, low), np.where(open_ & ~up, middle - 1, high)
+    step = np.minimum(np.maximum(np.sqrt(low).astype(np.int64), 1), c - low)
+    here, there = odds(low) * low, odds(low + step) * (low + step)
+    ratio = np.maximum((here - there) / step, 1e-6)
+    trials = np.maximum(np.rint(low - 1 + here / ratio), low).astype(np.int64)
+    success = here / np.maximum(trials - low + 1, 1e-9)
+    return np.clip(1 + rng.binomial(trials, success / (1 + success)), 1, c)
+
+
 @dataclass(frozen=True)
 class _Totals:
     """What crosses shards: customers of each restaurant, words, and for each
@@ -318,14 +354,15 @@ def _totals(states: DataFrame, model: PitmanYor, customers: np.ndarray, samples:
     return _Totals(customers, words, tables, parent)
 
 
-def _sampled(states: DataFrame, model: PitmanYor, totals: _Totals) -> DataFrame:
-    """States after burn-in, with ``samples`` seatings each."""
+def _sampled(states: DataFrame, model: PitmanYor, totals: _Totals, *, sweeps: int, samples: int = 1) -> DataFrame:
+    """States of ``samples`` seatings: the first after ``sweeps`` sweeps, each
+    other ``between`` sweeps after the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stirling, above = _Stirling(model.discount), _Stirling(model.parent_discount)
         for batch in batches:
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rng = np.random.default_rng([model.seed, shard, 1])
+                rng = np.random.default_rng([model.seed, shard, 1, int(totals.tables[0].sum())])
                 seated = _Seating.of(body.as_buffer(), 1)
                 words, c, word = seated.words, seated.customers, seated.owners
                 tables, parent = seated.tables[0].astype(np.int64), seated.parent[0].astype(np.int64)
@@ -333,13 +370,14 @@ def _sampled(states: DataFrame, model: PitmanYor, totals: _Totals) -> DataFrame:
                 total = totals.tables[0].sum()
                 base = (model.parent_strength + model.parent_discount * totals.parent_tables[0]) / (totals.words + 1)
                 kept, kept_parent = [], []
-                for sweep in range(1, model.burn_in + model.between * (model.samples - 1) + 2):
+                for sweep in range(sweeps + model.between * (samples - 1)):
                     served = np.bincount(word, tables, len(words)).astype(np.int64)
                     parent = np.minimum(parent, served)
-                    parent = _sweep(served, parent, np.full(len(words), base), model.parent_discount, above, model.reseated, rng)
+                    parent = np.maximum(parent, np.minimum(served, 1))
+                    parent = _sweep(served, parent, np.full(len(words), base), above, rng)
                     p = _parent_probability(model, served, parent, total, totals.parent_tables[0], totals.words)
-                    tables = _sweep(c, tables, opens * p[word], model.discount, stirling, model.reseated, rng)
-                    if sweep > model.burn_in and (sweep - model.burn_in - 1) % model.between == 0:
+                    tables = _sweep(c, tables, opens * p[word], stirling, rng)
+                    if sweep + 1 >= sweeps and (sweep + 1 - sweeps) % model.between == 0:
                         kept.append(tables.astype(np.int32))
                         served = np.bincount(word, tables, len(words)).astype(np.int64)
                         kept_parent.append(np.minimum(parent, served).astype(np.int32))
@@ -442,9 +480,14 @@ def score_texts(
     customers = np.zeros(model.contexts + 1)
     for row in blocks.where(F.col("kind") == _TOTALS).groupBy("shard").agg(F.sum("block").alias("n")).collect():
         customers[row["shard"]] = row["n"]
-    seated = materialise(_first_seating(requests, model, customers), "seated")
-    states = materialise(_sampled(seated, model, _totals(seated, model, customers, 1)), "sampled")
-    discard(seated)
+    states = materialise(_first_seating(requests, model, customers), "seated")
+    totals = _totals(states, model, customers, 1)
+    for done in range(0, model.burn_in, model.round):
+        before, states = states, materialise(_sampled(states, model, totals, sweeps=min(model.round, model.burn_in - done)), "seated")
+        discard(before)
+        totals = _totals(states, model, customers, 1)
+    before, states = states, materialise(_sampled(states, model, totals, sweeps=1, samples=model.samples), "sampled")
+    discard(before)
     totals = _totals(states, model, customers, model.samples)
     answers = materialise(_answers(states, requests, model, totals), "answers")
     discard(blocks, f"kind={_WORDS}")

@@ -69,3 +69,29 @@ def test_reruns_agree(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     one, two = ({r["doc_id"]: r["score"] for r in hpylm.score_texts(d, model=SMALL).collect()} for d in (docs, docs))
     assert one == two
+
+
+def test_ratio_of_many_customers():
+    exact, far = hpylm._Stirling(0.85, 400), hpylm._Stirling(0.85, 100)
+    tables = np.array([1, 2, 5, 40, 150, 300, 390, 399])
+    for c in (200, 400):
+        t = tables[tables <= c]
+        assert np.allclose(far.alone(np.full(len(t), c), t), exact.alone(np.full(len(t), c), t), rtol=0.05)
+
+
+def test_sweep_reseats_every_customer():
+    """One sweep leads from any seating to the exact distribution of tables,
+    however many customers a dish has."""
+    rng, n = np.random.default_rng(2), 4000
+    stirling, exact = hpylm._Stirling(0.85), hpylm._Stirling(0.85, 1000)
+    for c in (2, 20, 128, 129, 300, 1000):
+        t = np.arange(1, c + 1)
+        for w in (0.01, 1.5, 30.0, 1000.0):
+            log = exact.log[c, 1 : c + 1] + np.log(w) * t
+            p = np.exp(log - log.max())
+            p /= p.sum()
+            mean, spread = p @ t, math.sqrt(max(0, p @ t**2 - (p @ t) ** 2))
+            for start in (1, c):
+                got = hpylm._sweep(np.full(n, c), np.full(n, start, np.int64), np.full(n, w), stirling, rng)
+                assert abs(got.mean() - mean) <= 0.03 * mean + 4 * spread / math.sqrt(n), (c, w, start, mean, got.mean())
+                assert abs(got.std() - spread) <= 0.1 * spread + 0.05, (c, w, start, spread, got.std())
