@@ -51,32 +51,43 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     """Log probabilities of buckets, a column a language.  A text of more
     than ``enough`` trigrams counts as that many: trigrams of one text repeat
-    each other, and other evidence should keep a say."""
+    each other, and other evidence should keep a say.  ``usual`` has, a row a
+    language, the mean of log probabilities over its training texts, the
+    variance of texts' means and that within texts: a text that lies more than
+    ``far`` deviations below what is usual in every language has none."""
 
     languages: tuple[str, ...]
     log_probability: np.ndarray
+    usual: np.ndarray
     enough: int = 150
+    far: float = 12.0
 
-    def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihoods, numbers of trigrams, and whether a text may be of
+        a language of the model; one without trigrams may."""
         bucket, counts = _trigrams(column)
         ends = np.concatenate([[0], np.cumsum(counts)])
         out = np.zeros((len(counts), len(self.languages)))
         for i, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if y > x:
                 out[i] = self.log_probability[bucket[x:y]].sum(axis=0)
-        return out * (np.minimum(counts, self.enough) / np.maximum(counts, 1))[:, None], counts
+        mean = out / np.maximum(counts, 1)[:, None]
+        within = self.usual[:, 2] / np.maximum(counts, 1)[:, None]
+        usual = mean >= self.usual[:, 0] - self.far * np.sqrt(self.usual[:, 1] + within)
+        return mean * np.minimum(counts, self.enough)[:, None], counts, usual.any(axis=1) | (counts == 0)
 
 
 def fit_text_model(
-    rows: DataFrame, *, text: str, declared: str, row_id: str, training_rows: int = 8000, least: float = 0.01, most: int = 64, trigrams: int = 200
+    rows: DataFrame, *, text: str, declared: str, row_id: str, training_rows: int = 8000, each: int = 500, support: int = 50, least: float = 0.01, trigrams: int = 200
 ) -> TextModel:
     """Learn trigrams from about ``training_rows`` rows, picked by a hash of
-    their id, taking the declared languages as labels.
+    their id, and about ``each`` of every language that has fewer among them,
+    taking the declared languages as labels.
 
-    Languages are the declared values that at least ``least`` of the picked
-    rows name and that have ``trigrams`` trigrams, the ``most`` commonest at
-    most; scattered wrong declarations only add a little noise.  Without such
-    rows the model knows no language.
+    Languages are the declared values that ``support`` rows of the whole table
+    name, or a share of ``least`` in smaller tables, and whose picked rows have
+    ``trigrams`` trigrams; scattered wrong declarations only add a little
+    noise.  Without such rows the model knows no language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,19 +106,48 @@ def fit_text_model(
 
     labelled = rows.select(F.lower(F.trim(declared)).alias("language"), F.col(text).alias("text"), F.col(row_id).alias("id"))
     labelled = labelled.where("language IS NOT NULL AND language != ''")
-    every = max(1, labelled.count() // training_rows)
-    picked = labelled.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(every)) == 0).select("language", "text")
+    said = labelled.groupBy("language").agg(F.count("*").alias("n"))
+    said = materialise(said, "declared")
+    total = said.agg(F.sum("n")).first()[0] or 0
+    named = {r["language"]: r["n"] for r in said.where(F.col("n") >= min(support, least * total)).collect()}
+    if not named:
+        return TextModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 3)))
+    every = {x: max(1, int(n // max(each, training_rows * n / total))) for x, n in named.items()}
+    one_of = F.create_map(*[F.lit(v) for x in every.items() for v in x])[F.col("language")]
+    picked = labelled.where(F.col("language").isin(*named)).where(F.pmod(F.xxhash64(F.lit(5), "id"), one_of) == 0).select("language", "text")
+    picked = materialise(picked, "training")
     counts = materialise(picked.mapInArrow(run, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    heads = counts.groupBy("language").agg(
-        F.sum(F.when(F.col("bucket") < 0, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)).alias("size")
-    )
-    total = heads.agg(F.sum("n")).first()[0] or 0
-    common = heads.where((F.col("n") >= least * total) & (F.col("size") >= trigrams)).orderBy(F.desc("n"), "language").limit(most).collect()
-    languages = tuple(sorted(r["language"] for r in common))
+    sizes = counts.where("bucket >= 0").groupBy("language").agg(F.sum("n").alias("size"))
+    languages = tuple(sorted(r["language"] for r in sizes.where(F.col("size") >= trigrams).collect()))
     table = np.full((BUCKETS, len(languages)), 0.2)
+    column = {x: i for i, x in enumerate(languages)}
     for r in counts.where(F.col("language").isin(*languages) & (F.col("bucket") >= 0)).toLocalIterator() if languages else ():
-        table[r["bucket"], languages.index(r["language"])] += r["n"]
-    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+        table[r["bucket"], column[r["language"]]] += r["n"]
+    size = table.sum(axis=0)
+    log_probability = np.log(table / size).astype(np.float32)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1):
+            bucket, number = _trigrams(batch.column(1))
+            owner = np.array([column.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            ok = (owner >= 0) & (number > 0)
+            of = np.repeat(np.arange(len(owner)), number)
+            at = owner[of]
+            # a text's own part is taken out of its language's counts
+            cell, place, times = np.unique(of * BUCKETS + bucket, return_inverse=True, return_counts=True)
+            left = np.maximum(table[bucket, at] - times[place], 0.2)
+            x = np.log(left / np.maximum(size[at] - number[of], 1.0))
+            n = np.maximum(number, 1)
+            mean = np.bincount(of, x, len(owner)) / n
+            within = np.maximum(np.bincount(of, x * x, len(owner)) / n - mean**2, 0)
+            yield pa.record_batch([pa.array(v[ok]) for v in (owner, mean, within)], ["owner", "mean", "within"])
+
+    usual = np.zeros((len(languages), 3))
+    if languages:
+        spreads = picked.mapInArrow(spread, "owner long, mean double, within double").groupBy("owner")
+        for r in spreads.agg(F.avg("mean").alias("m"), F.var_pop("mean").alias("b"), F.avg("within").alias("w")).collect():
+            usual[r["owner"]] = r["m"], r["b"], r["w"]
+    return TextModel(languages, log_probability, usual)
 
 
 @dataclass(frozen=True)
@@ -138,12 +178,16 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], settings: Fusion | Non
 
     Missing evidence takes no side.  Texts without trigrams follow the other
     evidence, but are never accepted; nor are rows whose best language has
-    less than ``least``.
+    less than ``least``.  Rows that a column ``known`` denies are of no
+    language of the model: they have none and are no evidence for others.
     """
+    kept = [c for c in evidence.columns if c != "known"]
+    if "known" not in evidence.columns:
+        evidence = evidence.withColumn("known", F.lit(True))
     s, n = settings or Fusion(), len(languages)
     if not n:
         none = {c: F.lit(None).cast("string") for c in ("language", "text_language")}
-        return evidence.withColumns(none | {"confidence": F.lit(0.0), "accepted": F.lit(False)})
+        return evidence.select(*kept).withColumns(none | {"confidence": F.lit(0.0), "accepted": F.lit(False)})
     names = F.array(*[F.lit(x) for x in languages])
     top = F.array_max("likelihood")
     weight = F.transform("likelihood", lambda x: F.exp(x - top))
@@ -156,7 +200,7 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], settings: Fusion | Non
         }
     )
     rows = materialise(rows, "evidence")
-    some = rows.where("n_trigrams > 0")
+    some = rows.where("n_trigrams > 0 AND known")
     hosts = some.where("host IS NOT NULL").groupBy("host", "domain", "suffix").agg(_vector_sum("own", n).alias("host_n"))
     hosts = materialise(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(_vector_sum("host_n", n).alias("domain_n"))
@@ -181,31 +225,32 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], settings: Fusion | Non
     place = F.coalesce(_smoothed(others, F.col("domain_p"), s.host), prior)
     claim = F.coalesce(F.try_element_at(told, F.col("claim")), neutral)
     joint = F.zip_with(F.zip_with("own", place, lambda a, b: a * b), claim, lambda a, b: a * b)
-    rows = rows.withColumn("joint", joint).withColumn("confidence", F.array_max("joint") / F.aggregate("joint", F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("joint", joint)
+    rows = rows.withColumn("confidence", F.when(F.col("known"), F.array_max("joint") / F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)).otherwise(0.0))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     rows = rows.withColumns(
         {
-            "language": best("joint"),
-            "text_language": F.when(F.col("n_trigrams") > 0, best("own")),
-            "accepted": (F.col("n_trigrams") > 0) & (F.col("confidence") >= s.least),
+            "language": F.when(F.col("known"), best("joint")),
+            "text_language": F.when((F.col("n_trigrams") > 0) & F.col("known"), best("own")),
+            "accepted": F.col("known") & (F.col("n_trigrams") > 0) & (F.col("confidence") >= s.least),
         }
     )
-    return rows.select(*evidence.columns, "language", "confidence", "text_language", "accepted")
+    return rows.select(*kept, "language", "confidence", "text_language", "accepted")
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
     """All columns but ``text``, and the likelihoods."""
     at = rows.columns.index(text)
     kept = [f for f in rows.schema if f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, n_trigrams long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, n_trigrams long, known boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, at):
-            values, counts = model.likelihoods(part.column(at))
+            values, counts, known = model.likelihoods(part.column(at))
             width = len(model.languages)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * width, pa.int32()), pa.array(values.ravel()))
             columns = [c for i, c in enumerate(part.columns) if i != at]
-            yield pa.record_batch([*columns, lists, pa.array(counts)], [*[f.name for f in kept], "likelihood", "n_trigrams"])
+            yield pa.record_batch([*columns, lists, pa.array(counts), pa.array(known)], [*[f.name for f in kept], "likelihood", "n_trigrams", "known"])
 
     return rows.mapInArrow(run, schema)
 

@@ -1,3 +1,5 @@
+import numpy as np
+
 from deckloom.llm import langid
 from deckloom.llm.queries import op4_langid, table
 
@@ -46,3 +48,21 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert not every[2]["accepted"] and every[2]["text_language"] is None and every[1]["language"] == "en"
     assert langid.accepted_documents(no_documents).count() == 0 and langid.identify_documents(no_documents).count() == 0
     assert langid.identify_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _sentences(letters, n):
+    rng = np.random.default_rng([ord(x) for x in letters])
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(80)]
+    return [" ".join(rng.choice(words, 25)) for _ in range(n)]
+
+
+def test_rare_and_foreign_languages(spark):
+    """A language of 0.6% of the rows is one; texts of none are rejected."""
+    common, rare, none = _sentences("abcdefgh", 9940), _sentences("ijklmnop", 60), _sentences("qrstuvwx", 40)
+    rows = [(x, "en") for x in common] + [(x, "gd") for x in rare] + [(x, "zz") for x in none[:20]] + [(x, "en") for x in none[20:]]
+    docs = spark.createDataFrame([(i, x, d, "s") for i, (x, d) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.identify_documents(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["language"] == "gd" and got[i]["accepted"] for i in range(9940, 10_000))
+    assert not any(got[i]["accepted"] or got[i]["language"] for i in range(10_000, 10_040))
+    assert sum(got[i]["accepted"] and got[i]["language"] == "en" for i in range(9940)) >= 0.999 * 9940
