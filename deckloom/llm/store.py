@@ -34,20 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 @contextmanager
 def _while_writing(spark: SparkSession) -> Iterator[None]:
     """Queries run inside leave no shuffle files once they are done: what they
-    wrote is read from now on, and never their shuffles.  The few parts of a
-    table are written side by side rather than after a sort."""
-    own = {_CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
-    before = {k: spark.conf.get(k, None) for k in own}
-    for k, value in own.items():
-        spark.conf.set(k, value)
+    wrote is read from now on, and never their shuffles."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        for k, value in before.items():
-            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The table outlives the query that made it (its result is lazy);
@@ -56,9 +52,9 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deckloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     # rows may hold bodies of megabytes: small row groups bound what tasks hold
-    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    writer = df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP)
     with _while_writing(spark):
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._materialised_at = path
     return table
@@ -69,10 +65,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def discard(table: DataFrame, part: str = "") -> None:
-    """Remove a materialised table, or one part of it, that no later query
-    reads."""
-    _delete(table.sparkSession, f"{table._materialised_at}/{part}")
+def discard(table: DataFrame) -> None:
+    """Remove a materialised table that no later query reads."""
+    _delete(table.sparkSession, table._materialised_at)
 
 
 def clean(spark: SparkSession) -> None:
