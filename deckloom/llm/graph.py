@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckloom.llm.store import materialise
+from deckloom.llm.store import discard, materialise
 
 #: Labels sent to all tasks while they are at most so many (two short keys
 #: each); more are joined by shuffle.
@@ -38,8 +38,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", broadcast_labels: i
         far = step.select(F.col("u").alias("at"), F.col("next").alias("far"))
         jumped = step.join(few(far), step.next == far.at, "left")
         jumped = jumped.select(F.col("u").alias("node"), F.coalesce("far", "next").alias("label"), "old")
-        labels = materialise(jumped.coalesce(files), "labels")
+        before, labels = labels, materialise(jumped.coalesce(files), "labels")
+        discard(before)
+        discard(step)
         done = labels.where("label != old").isEmpty()
-        labels = labels.select("node", "label")
         if done:
-            return labels
+            discard(both)
+            return labels.select("node", "label")

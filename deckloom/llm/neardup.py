@@ -4,10 +4,11 @@ Texts of equal shingle sets are one node of the graph from the start.  For the
 others, independent trees branch on selected minwise tokens: at each level a
 path hash selects one or two of a document's minima (1 / similarity of them
 expected), and the token there extends the path.  Documents of one path at the
-chosen depth are a tree node.  Small nodes are compared exhaustively on full
-sets.  Members of large nodes are linked to the node's leader after the same
-exact count; nodes that this does not connect are branched deeper, and in the
-end compared in pairs of blocks if branching cannot split them.  The number of
+chosen depth are a tree node.  Small nodes, of few members and few shingles in
+all, are compared exhaustively on full sets.  Members of other nodes are linked
+to the node's leader after the same exact count; nodes that this does not
+connect are branched deeper, by a byte of each minimum's hash, and in the end
+compared in pairs of blocks if branching cannot split them.  The number of
 trees follows from the recall wanted for a pair of exactly the least
 similarity.
 """
@@ -41,7 +42,8 @@ class NearDuplicates:
     minima: int = 128
     depth: int = 4
     recall: float = 0.9999
-    node: int = 2048  # most members compared in one task
+    node: int = 512  # most members compared in one task
+    shingles: int = 1 << 20  # and most of their shingles in all
     rounds: int = 6
     broadcast_rows: int = 250_000
     seed: int = 20
@@ -133,7 +135,8 @@ def _sketches(docs: DataFrame, s: NearDuplicates) -> DataFrame:
             for i, own in zip(some.tolist(), np.split(path[order].view(np.int64), cuts), strict=False):
                 paths[i] = own
             short: list = [None] * len(sizes)
-            for i, own in zip(some.tolist(), (full >> np.uint64(56)).astype(np.uint8), strict=True):
+            # a minimum's own high bits are near zero in long sets, and its low ones depend on its rule
+            for i, own in zip(some.tolist(), mix(full).astype(np.uint8), strict=True):
                 short[i] = own.tobytes()
             yield pa.record_batch(
                 [batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(short, pa.binary()),
@@ -162,17 +165,23 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, s: NearDuplicates) -> DataFra
     return some.join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
-    """The links (a, b) among candidate pairs, by full sets."""
+def _confirmed(stars: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
+    """The links (a, b) among leaders ``a`` and members ``b``, by full sets.
+
+    A leader's set goes to ``parts`` groups of its members, each of about the
+    size of a small node, so that large stars are not one task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 2):
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array([s.linked(p, q) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    rows = pairs.join(sets.select(F.col("digest").alias("b"), F.col("words").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("digest").alias("a"), F.col("words").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    parts = stars.groupBy("a").agg(F.ceil(F.count("*") / s.node).cast("int").alias("parts"))
+    leaders = parts.join(sets.select(F.col("digest").alias("a"), F.col("words").alias("x")), "a")
+    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    members = stars.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    members = members.join(sets.select(F.col("digest").alias("b"), F.col("words").alias("y")), "b")
+    return members.join(leaders, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _counts(sets: list[np.ndarray], first: int, width: int = 4096) -> np.ndarray:
@@ -242,9 +251,10 @@ def _deeper(rows: DataFrame, s: NearDuplicates, salt: int) -> DataFrame:
             short = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             start = batch.column(0).to_numpy().view(np.uint64)
             row, path = s.paths(short, start, salt)
-            yield pa.record_batch([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(row))], ["path", "digest"])
+            own = [batch.column(i).take(pa.array(row)) for i in (1, 3)]
+            yield pa.record_batch([pa.array(path.view(np.int64)), *own], ["path", "digest", "size"])
 
-    return rows.select("path", "digest", "short").mapInArrow(run, "path long, digest binary")
+    return rows.select("path", "digest", "short", "size").mapInArrow(run, "path long, digest binary, size long").distinct()
 
 
 def near_duplicates(
@@ -259,10 +269,21 @@ def near_duplicates(
     empty table gives no rows; other columns are ignored.
     """
     s = settings or NearDuplicates()
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sketches, by_class = _classes(docs, s)
+    smallest = materialise(by_class.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
+    by_class = by_class.join(smallest, "label").select("digest", "component_id")
+    found = sketches.where("digest IS NOT NULL").join(by_class, "digest").select("doc_id", "n_shingles", "component_id")
+    alone = sketches.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes(docs: DataFrame, s: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (digest, rep, label) of each distinct set: its
+    smallest id, and the same label for all sets that links connect."""
     sketches = materialise(_sketches(docs, s), "sketches")
     classes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("paths").alias("paths")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("short").alias("short"), F.first("paths").alias("paths")
     )
     classes = materialise(classes, "classes")
     links = _links(docs, classes, s)
@@ -271,58 +292,54 @@ def near_duplicates(
         labels = components(links)
         by_class = classes.join(labels, classes.digest == labels.node, "left")
         by_class = by_class.select("digest", "rep", F.coalesce("label", "digest").alias("label"))
-    smallest = by_class.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = by_class.join(smallest, "label").select("digest", "component_id")
-    rows = sketches.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest"
-    )
+    return sketches, materialise(by_class, "by-class")
 
 
 def _links(docs: DataFrame, classes: DataFrame, s: NearDuplicates) -> DataFrame | None:
     """Links (a, b) of digests that connect each component.
 
-    Nodes of up to ``s.node`` members are compared exhaustively at once.  In
-    larger ones every member is tried with the leader; where that does not
-    connect all, the node is branched deeper.
+    Nodes of up to ``s.node`` members and ``s.shingles`` shingles are compared
+    exhaustively at once.  In larger ones every member is tried with the
+    leader; where that does not connect all, the node is branched deeper.
     """
-    nodes = classes.select(F.explode("paths").alias("path"), "digest")
+    nodes = classes.select(F.explode("paths").alias("path"), "digest", "size")
     sets, links = None, []
     for salt in range(s.rounds + 1):
         sizes = nodes.groupBy("path").agg(
-            F.count("*").alias("n"), F.min("digest").alias("leader"), F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("members")
-        ).where("n > 1")
+            F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("digest").alias("leader"),
+            F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("members"),
+        ).where("n > 1")
         # nodes of the same members, as most trees make them, count once
-        sizes = sizes.groupBy("n", "leader", "members").agg(F.min("path").alias("path")).select("path", "n", "leader")
+        sizes = sizes.groupBy("n", "shingles", "leader", "members").agg(F.min("path").alias("path")).select("path", "n", "shingles", "leader")
         nodes = materialise(nodes.join(sizes, "path"), "nodes")
         if nodes.isEmpty():
             break
         if sets is None:
             wanted = nodes.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
             sets = materialise(_full_sets(docs, materialise(wanted, "wanted"), s), "sets")
-        small = nodes.where(F.col("n") <= s.node).select("path", F.lit(0).alias("side"), "digest").join(sets, "digest")
+        is_small = (F.col("n") <= s.node) & (F.col("shingles") <= s.shingles)
+        small = nodes.where(is_small).select("path", F.lit(0).alias("side"), "digest").join(sets, "digest")
         links.append(materialise(_exhaustive(small, s, ["path"]), "links"))
-        large = nodes.where(F.col("n") > s.node)
+        large = nodes.where(~is_small)
         if large.isEmpty():
             break
         stars = large.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-        links.append(materialise(_confirmed(stars, sets, s), "links"))
+        links.append(materialise(_confirmed(materialise(stars, "stars"), sets, s), "links"))
         joined = large.join(links[-1], (large.leader == F.col("a")) & (large.digest == F.col("b")))
         closed = joined.groupBy("path", "n").agg(F.count("*").alias("joined")).where("joined = n - 1").select("path")
-        large = large.join(closed, "path", "left_anti").join(classes.select("digest", "short"), "digest")
+        large = materialise(large.where("n > 2").join(closed, "path", "left_anti"), "large")
         if salt == s.rounds:
             links.append(materialise(_blocks(large, sets, s), "links"))
             break
-        nodes = materialise(_deeper(large, s, salt + 1), "deeper")
+        nodes = materialise(_deeper(large.join(classes.select("digest", "short"), "digest"), s, salt + 1), "deeper")
     return reduce(DataFrame.unionByName, links) if links else None
 
 
 def _blocks(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
     """All pairs of blocks of those nodes that branching never split: each
-    task holds two blocks of a node."""
-    half = max(1, s.node // 2)
-    n_blocks = F.ceil(F.col("n") / half).cast("int")
+    task holds two blocks of a node, of half the members and shingles each
+    that a small node may have."""
+    n_blocks = F.greatest(F.ceil(2 * F.col("n") / s.node), F.ceil(2 * F.col("shingles") / s.shingles)).cast("int")
     own = large.withColumn("parts", n_blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -336,29 +353,39 @@ def _blocks(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
 def drop_near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settings: NearDuplicates | None = None
 ) -> DataFrame:
-    """The rows of ``docs``, all columns kept, without near-duplicates: the row
-    of the smallest id of each component stays, once if it is repeated; texts
-    without words all stay."""
+    """The rows of ``docs``, all columns kept, without near-duplicates.
+
+    Of each component one row stays: the smallest id's, of the first set if
+    that id has several, and once if it is repeated; null ids come last.  Null
+    and empty texts, and texts without words, all stay.  An empty table stays
+    empty.  Columns of any name are allowed: rows travel as one struct.
+    """
     s = settings or NearDuplicates()
-    names = docs.columns
-    at = names.index(text)
-    schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
+    at = docs.columns.index(text)
+    schema = StructType([*rows.schema.fields, StructField("digest", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, at):
-            _, _, digests = _sets(batch.column(at), s.width)
-            yield pa.record_batch([*batch.columns, pa.array(digests, pa.binary())], schema.names)
-
-    judged = near_duplicates(docs, doc_id=doc_id, text=text, settings=s)
-    stay = judged.where("kept AND digest IS NOT NULL").groupBy("digest")
-    stay = materialise(stay.agg(F.min("doc_id").alias("__id"), F.count("*").alias("__rows")), "stay")
+        for batch in batches:
+            flat = pa.record_batch([batch.column(0).field(at), *batch.columns], ["text", "row", "id"])
+            for part in text_slices(iter([flat]), 0):
+                _, _, digests = _sets(part.column(0), s.width)
+                yield pa.record_batch([part.column(1), part.column(2), pa.array(digests, pa.binary())], schema.names)
+
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sketches, by_class = _classes(plain, s)
+    first = by_class.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "digest")).alias("x"))
+    stay = materialise(first.select(F.col("x.rep").alias("__id"), F.col("x.digest").alias("__digest")), "stay")
     few = F.broadcast if stay.count() <= s.broadcast_rows else lambda df: df  # 24 bytes each
-    known = docs.mapInArrow(run, schema)
-    mine = known[doc_id].cast("long").eqNullSafe(F.col("__id")) & F.col("digest").isNotNull()
-    rows = known.join(few(stay), known["__digest"] == stay["digest"], "left")
-    kept = rows.where(F.col("__digest").isNull() | (mine & (F.col("__rows") == 1))).select(*names)
-    if stay.where("__rows > 1").isEmpty():
-        return kept
-    repeated = stay.where("__rows > 1")
-    rows = known.join(few(repeated), known["__digest"] == repeated["digest"]).where(mine)
-    return kept.unionByName(rows.dropDuplicates(["__digest"]).select(*names))
+    known = rows.mapInArrow(run, schema)
+    same = known["id"].eqNullSafe(F.col("__id")) & (known["digest"] == F.col("__digest"))
+    kept = known.where("digest IS NULL").select("row.*")
+    # most ids are of one row; those of several with one text go another way
+    often = sketches.where("digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("digest") == F.col("__digest"))
+    often = materialise(often.join(stay, chosen).select("__id", "__digest"), "often")
+    if often.isEmpty():
+        return kept.unionByName(known.join(few(stay), same).select("row.*"))
+    once = stay.join(often.select(F.col("__digest").alias("d")), F.col("__digest") == F.col("d"), "left_anti")
+    kept = kept.unionByName(known.join(few(once), same).select("row.*"))
+    return kept.unionByName(known.join(few(often), same).dropDuplicates(["digest"]).select("row.*"))

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
 from deckloom.llm import graph
 from deckloom.llm.neardup import NearDuplicates, drop_near_duplicates, near_duplicates
 from deckloom.llm.queries import table
+from deckloom.llm.text import mix
 
 
 def shingles(text):
@@ -43,6 +45,41 @@ def families(seed, sizes):
     return texts
 
 
+def long_families(seed, sizes, words=3000):
+    """Copies of long texts, each with about one word in 80 changed."""
+    rng, texts = random.Random(seed), {}
+    for n in sizes:
+        base = [f"v{rng.randrange(50_000)}" for _ in range(words)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rng.randint(0, words // 40)):
+                own[rng.randrange(words)] = f"v{rng.randrange(50_000)}"
+            texts[len(texts)] = " ".join(own)
+    return texts
+
+
+@pytest.mark.parametrize("settings", [NearDuplicates(), NearDuplicates(node=8, rounds=2), NearDuplicates(shingles=20_000, rounds=2)])
+def test_long_texts_against_brute_force(spark, settings):
+    texts = long_families(5, (12, 9, 5, *[1] * 10))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame, settings=settings).collect()}
+    assert got == brute(texts)
+
+
+def test_deeper_branches_split_long_sets():
+    """Unrelated sets of 3,000 shingles part at once; similar ones stay."""
+    s, rng = NearDuplicates(), np.random.default_rng(1)
+    sets = np.sort(rng.integers(0, 2**63, (200, 3000), np.uint64), axis=1)
+    sets[1::2] = np.sort(np.concatenate([sets[::2, :2800], rng.integers(0, 2**63, (100, 200), np.uint64)], axis=1), axis=1)
+    short = mix(s.signatures(sets.ravel(), np.full(200, 3000))).astype(np.uint8)
+    row, path = s.paths(short, np.zeros(200, np.uint64), 1)
+    nodes = {}
+    for r, p in zip(row.tolist(), path.tolist(), strict=True):
+        nodes.setdefault(p, set()).add(r)
+    assert max(len({r // 2 for r in own}) for own in nodes.values()) <= 4
+    assert sum(any({2 * i, 2 * i + 1} <= own for own in nodes.values()) for i in range(100)) >= 99
+
+
 @pytest.mark.parametrize("settings", [NearDuplicates(), NearDuplicates(node=24, rounds=1), NearDuplicates(node=4, rounds=0)])
 def test_components_against_brute_force(spark, settings):
     texts = families(3, (60, 30, 4, 2, 1))
@@ -80,3 +117,14 @@ def test_components_of_chains_and_stars(spark):
 
 def test_trees_reach_the_recall():
     assert 1 - (1 - NearDuplicates()._survival()) ** NearDuplicates().trees >= 0.9999
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null ids, ids of several texts and repeated rows included."""
+    texts = families(9, (5, 4, 3))
+    rows = [(None if i < 5 else 7 if i < 9 else i, t) for i, t in texts.items()]
+    rows += rows[5:7] + [(50, "x"), (50, "x"), (50, "other words"), (None, None), (None, "")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {shingles(texts[i]): c for i, (_, c) in brute(texts).items()}
+    found = [component.get(shingles(r["text"]), r["text"]) for r in kept]
+    assert sorted(map(str, found)) == sorted(map(str, [*set(component.values()), "x", "other words", None, ""]))
