@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from deckloom.llm.html_extract import host_of, parse
 from deckloom.llm.store import materialise
@@ -49,9 +50,9 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log probabilities of buckets, a column a language.  A text of more
-    than ``enough`` trigrams counts as that many: trigrams of one text repeat
-    each other, and other evidence should keep a say.  ``usual`` has, a row a
+    """Log probabilities of buckets, a column a language.  Trigrams of one
+    text repeat each other, so a text of n trigrams weighs n / (1 + n / alike)
+    of them, and other evidence keeps a say.  ``usual`` has, a row a
     language, the mean of log probabilities over its training texts, the
     variance of texts' means and that within texts: a text that lies more than
     ``far`` deviations below what is usual in every language has none."""
@@ -59,7 +60,7 @@ class TextModel:
     languages: tuple[str, ...]
     log_probability: np.ndarray
     usual: np.ndarray
-    enough: int = 150
+    alike: float = 150.0
     far: float = 12.0
 
     def likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ class TextModel:
         mean = out / np.maximum(counts, 1)[:, None]
         within = self.usual[:, 2] / np.maximum(counts, 1)[:, None]
         usual = mean >= self.usual[:, 0] - self.far * np.sqrt(self.usual[:, 1] + within)
-        return mean * np.minimum(counts, self.enough)[:, None], counts, usual.any(axis=1) | (counts == 0)
+        return mean * (counts / (1 + counts / self.alike))[:, None], counts, usual.any(axis=1) | (counts == 0)
 
 
 def fit_text_model(
@@ -171,23 +172,35 @@ def _smoothed(counts: Column, above: Column, strength: float) -> Column:
     return F.zip_with(counts, above, lambda c, p: (c + F.lit(strength) * p) / (total + F.lit(strength)))
 
 
+#: The columns that :func:`fuse` reads and those that it adds.
+EVIDENCE = ("likelihood", "n_trigrams", "declared", "host", "known")
+FOUND = ("language", "confidence", "text_language", "accepted")
+
+
 def fuse(evidence: DataFrame, languages: tuple[str, ...], settings: Fusion | None = None) -> DataFrame:
     """Add ``language``, ``confidence``, ``text_language`` and ``accepted`` to
     rows of evidence: ``likelihood`` (log, by language), ``n_trigrams``,
     ``declared`` and ``host``.
 
-    Missing evidence takes no side.  Texts without trigrams follow the other
-    evidence, but are never accepted; nor are rows whose best language has
-    less than ``least``.  Rows that a column ``known`` denies are of no
-    language of the model: they have none and are no evidence for others.
+    Missing evidence takes no side: null hosts and declarations, and null or
+    zero ``n_trigrams``.  Texts without trigrams follow the other evidence, but
+    are never accepted; nor are rows whose best language has less than
+    ``least``.  Rows that a column ``known`` denies are of no language of the
+    model: they have none and are no evidence for others.  Rows are never
+    merged; an empty table gives no rows.  Other columns stay as they are,
+    whatever their names, but those of the four that are added are replaced.
     """
-    kept = [c for c in evidence.columns if c != "known"]
-    if "known" not in evidence.columns:
-        evidence = evidence.withColumn("known", F.lit(True))
     s, n = settings or Fusion(), len(languages)
+    kept = [c for c in evidence.columns if c != "known" and c not in FOUND]
+    own = [c for c in EVIDENCE if c in evidence.columns]
+    row = F.struct(*kept).alias("row")
     if not n:
-        none = {c: F.lit(None).cast("string") for c in ("language", "text_language")}
-        return evidence.select(*kept).withColumns(none | {"confidence": F.lit(0.0), "accepted": F.lit(False)})
+        none = {c: F.lit(None).cast("string") for c in ("language", "text_language")} | {"confidence": F.lit(0.0), "accepted": F.lit(False)}
+        return evidence.select(*kept, *[none[c].alias(c) for c in FOUND])
+    evidence = evidence.select(row, *own)  # names of other columns can't clash with those below
+    if "known" not in own:
+        evidence = evidence.withColumn("known", F.lit(True))
+    evidence = evidence.withColumns({"n_trigrams": F.coalesce("n_trigrams", F.lit(0)), "known": F.coalesce("known", F.lit(True))})
     names = F.array(*[F.lit(x) for x in languages])
     top = F.array_max("likelihood")
     weight = F.transform("likelihood", lambda x: F.exp(x - top))
@@ -235,14 +248,15 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], settings: Fusion | Non
             "accepted": F.col("known") & (F.col("n_trigrams") > 0) & (F.col("confidence") >= s.least),
         }
     )
-    return rows.select(*kept, "language", "confidence", "text_language", "accepted")
+    return rows.select("row.*", *FOUND)
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
     """All columns but ``text``, and the likelihoods."""
     at = rows.columns.index(text)
     kept = [f for f in rows.schema if f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", likelihood array<double>, n_trigrams long, known boolean"
+    more = [StructField("likelihood", ArrayType(DoubleType())), StructField("n_trigrams", LongType()), StructField("known", BooleanType())]
+    schema = StructType([*kept, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, at):
@@ -250,7 +264,7 @@ def _likelihoods(rows: DataFrame, model: TextModel, text: str) -> DataFrame:
             width = len(model.languages)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * width, pa.int32()), pa.array(values.ravel()))
             columns = [c for i, c in enumerate(part.columns) if i != at]
-            yield pa.record_batch([*columns, lists, pa.array(counts), pa.array(known)], [*[f.name for f in kept], "likelihood", "n_trigrams", "known"])
+            yield pa.record_batch([*columns, lists, pa.array(counts), pa.array(known)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -287,7 +301,7 @@ def identify_pages(pages: DataFrame, *, settings: Fusion | None = None) -> DataF
     not accepted; null addresses take the world's prior.  Rows are never
     merged; other columns are ignored; an empty table gives no rows.
     """
-    texts = page_texts(pages)
+    texts = materialise(page_texts(pages), "page-texts")  # pages are parsed once
     model = fit_text_model(texts, text="text", declared="declared", row_id="page_id")
     rows = fuse(_likelihoods(texts, model, "text"), model.languages, settings)
     return rows.select("page_id", "url", "host", "declared", "text_language", "language", "confidence", "accepted")
@@ -303,7 +317,7 @@ def identify_documents(docs: DataFrame, *, settings: Fusion | None = None) -> Da
     ignored; an empty table gives no rows.
     """
     copy = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("lang")).alias("declared"), F.col("source").alias("host"), F.col("text").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("lang")).alias("declared"), F.col("source").alias("host"), F.col("text").cast("string").alias("text")
     )
     model = fit_text_model(docs, text="text", declared="lang", row_id="doc_id")
     rows = fuse(_likelihoods(copy, model, "text"), model.languages, settings)
@@ -312,8 +326,15 @@ def identify_documents(docs: DataFrame, *, settings: Fusion | None = None) -> Da
 
 def accepted_documents(docs: DataFrame, *, settings: Fusion | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose language is accepted: the
-    declared language is ``lang``, and ``source`` stands for the host."""
-    kept = docs.columns
-    copy = docs.select(*kept, F.col("text").alias("__text"), F.lower(F.trim("lang")).alias("declared"), F.col("source").alias("host"))
+    declared language is ``lang``, and ``source`` stands for the host.
+
+    Null and empty texts, and texts without letters, go; null sources take the
+    world's prior and null declarations take no side.  Repeated rows are judged
+    one by one.  An empty table stays empty.  Columns of any name are allowed:
+    rows travel as one struct.
+    """
+    copy = docs.select(
+        F.struct("*").alias("whole"), F.col("text").cast("string").alias("text"), F.lower(F.trim("lang")).alias("declared"), F.col("source").alias("host")
+    )
     model = fit_text_model(docs, text="text", declared="lang", row_id="doc_id")
-    return fuse(_likelihoods(copy, model, "__text"), model.languages, settings).where("accepted").select(*kept)
+    return fuse(_likelihoods(copy, model, "text"), model.languages, settings).where("accepted").select("whole.*")

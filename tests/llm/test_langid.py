@@ -30,14 +30,64 @@ def test_evidence_is_fused(spark):
     assert not by[1002]["accepted"] and not by[1003]["accepted"] and by[1002]["text_language"] is None
 
 
-def test_host_priors_against_brute_force(spark):
-    languages = ("x", "y")
-    raw = [(1, "a.b.c", [0.0, -9.0], "x"), (2, "a.b.c", [0.0, -9.0], "x"), (3, "a.b.c", [-9.0, 0.0], None), (4, "d", [0.0, 0.0], "y"), (5, None, [0.0, 0.0], None)]
-    rows = spark.createDataFrame([(*r, 5) for r in raw], "id long, host string, likelihood array<double>, declared string, n_trigrams long")
-    got = {r["id"]: r for r in langid.fuse(rows, languages).collect()}
-    assert got[1]["language"] == got[2]["language"] == "x" and got[3]["text_language"] == "y"
-    assert got[4]["language"] == "y"  # what it declares decides
-    assert abs(got[5]["confidence"] - 3.9862 / 7) < 0.2  # the world's prior
+def plain_fusion(rows, languages, s):
+    """The posterior of each row in plain Python: counts of hosts, domains and
+    suffixes, each smoothed by the level above and less the row's own part,
+    and of declared values."""
+    n = len(languages)
+    own = {i: np.exp(np.array(like) - max(like)) / np.exp(np.array(like) - max(like)).sum() for i, _, like, _, _ in rows}
+    part = lambda h: (".".join(h.split(".")[-2:]), h.split(".")[-1] if "." in h else "")
+    some = [r for r in rows if r[4]]
+    total = lambda rs: sum((own[r[0]] for r in rs), np.zeros(n))
+    world = total(some) + 1
+    world = world / world.sum()
+    smooth = lambda c, up, k: (c + k * up) / (c.sum() + k)
+    claim = lambda d: d if d in languages else "?"
+    table = np.array([total([r for r in some if r[3] and claim(r[3]) == c]) for c in (*languages, "?")])
+    flat = np.full(table.shape, s.declared / (n + 1))
+    flat[np.arange(n), np.arange(n)] += s.declared
+    told = (table + flat) / (table + flat).sum(axis=0)
+    out = {}
+    for i, host, _, declared, k in rows:
+        place = world
+        if host and any(r[1] == host for r in some):
+            domain, suffix = part(host)
+            up = smooth(total([r for r in some if r[1] and part(r[1])[1] == suffix]), world, s.suffix)
+            up = smooth(total([r for r in some if r[1] and part(r[1]) == (domain, suffix)]), up, s.domain)
+            mine = own[i] if k else 0
+            place = smooth(np.maximum(total([r for r in some if r[1] == host]) - mine, 0), up, s.host)
+        joint = own[i] * place * (told[[*languages, "?"].index(claim(declared))] if declared else 1)
+        out[i] = languages[int(np.argmax(joint))], joint.max() / joint.sum()
+    return out
+
+
+def test_fusion_against_plain_counting(spark):
+    rng = np.random.default_rng(8)
+    hosts = ["a.b.c", "x.b.c", "b.c", "q.d", "d", None]
+    languages = ("x", "y", "z")
+    raw = [
+        (i, hosts[rng.integers(6)], rng.normal(0, 3, 3).tolist(), [None, "x", "y", "z", "odd", "xx"][rng.integers(6)], int(rng.integers(0, 4)))
+        for i in range(200)
+    ]
+    rows = spark.createDataFrame(raw, "id long, host string, likelihood array<double>, declared string, n_trigrams long")
+    want = plain_fusion(raw, languages, langid.Fusion())
+    got = langid.fuse(rows, languages).collect()
+    assert len(got) == len(raw)
+    for r in got:
+        assert r["language"] == want[r["id"]][0] and abs(r["confidence"] - want[r["id"]][1]) < 1e-9
+        assert r["accepted"] == (r["n_trigrams"] > 0 and r["confidence"] >= 0.5)
+
+
+def test_a_text_of_no_modelled_language_is_rejected(spark):
+    """One Hungarian text among 150 of two languages."""
+    en = "the cat and the dog went with the hat that they have seen on the table of the house {} times and then some more of it was there"
+    es = "el gato y el perro fueron con los sombreros que ellos han visto en la mesa de la casa {} veces y luego otras cosas estaban tambien"
+    hu = "a magyar nyelv egyik legnagyobb erteke hogy szavaink tobbsegukben osi eredetuek es minden gyermek konnyen megtanulhatja oket otthon a szuleitol"
+    rows = [(i, (en if i % 2 else es).format(i), "en" if i % 2 else "es", "s") for i in range(150)] + [(150, f"{hu} {hu}", "hu", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in langid.identify_documents(docs).collect()}
+    assert not got[150]["accepted"] and got[150]["language"] is None
+    assert sum(got[i]["accepted"] for i in range(150)) >= 149
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
