@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 class ByteBpe:
-    """The ids of a ``tokenizers`` file, with special tokens' strings taken as
-    ordinary text.
+    """The ids that ``tokenizers`` gives for a file with
+    ``add_special_tokens=False``: added tokens' strings in a text are those
+    tokens, as the library has it.
 
     Where the file is a plain byte-level BPE whose ids follow its merge order,
     ``tiktoken`` computes the same ids from the same vocabulary about four
@@ -36,12 +37,14 @@ class ByteBpe:
     def __init__(self, path: str):
         self._path, self._exact = path, None
         with open(path, encoding="utf-8") as f:
-            ranks = self._ranks(json.load(f))
+            spec = json.load(f)
+        ranks = self._ranks(spec)
         self._quick = None
         if ranks:
             import tiktoken
 
-            self._quick = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            added = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+            self._quick = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -54,13 +57,15 @@ class ByteBpe:
             and not before.get("add_prefix_space")
             and before.get("use_regex", True)
             and not spec.get("normalizer")
+            # tokens found as they are, wherever they stand
+            and not any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized"))
         )
         if not plain:
             return None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        special = {t["content"] for t in spec.get("added_tokens") or ()}
         ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         last = -1
         for pair in model["merges"]:
@@ -77,14 +82,13 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             self._exact = Tokenizer.from_file(self._path)
-            self._exact.encode_special_tokens = True
         return np.array(self._exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self._quick is not None:
             try:
-                return self._quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+                return self._quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
             except BaseException as e:  # a panic of the library is no Exception
                 if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
                     raise
@@ -92,34 +96,41 @@ class ByteBpe:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_DEALT = PIECES + ", spread long"
 
 
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024
 ) -> DataFrame:
     """Each document's ids, then ``end_id``, cut into pieces of at most
-    ``capacity``: whole ones from the end, the first takes what is left."""
+    ``capacity``: whole ones from the end, the first takes what is left.
+
+    Null and empty texts have one piece, ``end_id`` alone.  Null ids and
+    repeated rows have pieces of their own; other columns, whatever their
+    names, are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteBpe(tokenizer_path)
+        tokenizer, row = ByteBpe(tokenizer_path), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for name, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row += 1
                 ids = tokenizer.ids(whole.as_py() or "") + end
                 n = len(ids) // 4
                 cut = (n - 1) % capacity + 1
                 begin, piece = 0, 0
                 while begin < n:
-                    out.append((name, piece, begin, cut - begin, zlib.crc32(ids[4 * begin : 4 * cut])))
+                    out.append((name, piece, begin, cut - begin, zlib.crc32(ids[4 * begin : 4 * cut]), row))
                     begin, piece, cut = cut, piece + 1, cut + capacity
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")]
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _DEALT.split(", ")]
             )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _DEALT)
 
 
 def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int]]:
@@ -163,9 +174,10 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
 def pack_pieces(pieces: DataFrame, n_groups: int, *, capacity: int = 1024, open_bins: int = 512) -> DataFrame:
     """Give every piece a sequence and an offset there.
 
-    Groups are dealt by a hash of id and piece, and packed in the order of a
-    second hash, so reruns agree and sorted tables do not matter.  Rows alike
-    in all columns are packed one by one.
+    Groups are dealt by a hash of the piece and of ``spread``, its row's number
+    within its part of the table, so that rows alike in all columns, however
+    many, spread over the groups, and are packed in the order of a second
+    hash, so sorted tables do not matter.  Reruns over the same files agree.
     """
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -178,8 +190,8 @@ def pack_pieces(pieces: DataFrame, n_groups: int, *, capacity: int = 1024, open_
 
     dealt = pieces.select(
         *cols,
-        F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece", "ids_crc32"), F.lit(max(1, n_groups))).alias("grp"),
-        F.xxhash64(F.lit(2), "doc_id", "piece", "ids_crc32").alias("turn"),
+        F.pmod(F.xxhash64(F.lit(1), "doc_id", "piece", "ids_crc32", "spread"), F.lit(max(1, n_groups))).alias("grp"),
+        F.xxhash64(F.lit(2), "doc_id", "piece", "ids_crc32", "spread").alias("turn"),
     )
     return dealt.groupBy("grp").applyInArrow(pack, PIECES + ", sequence_id long, offset long")
 

@@ -40,7 +40,6 @@ def test_packing_holds_every_token(spark, sf_dir):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_path())
-    exact.encode_special_tokens = True
     docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
     rows = op5_packing(spark, sf_dir).collect()
     ids = {i: np.array([*exact.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in docs.items()}
@@ -64,10 +63,23 @@ def test_packing_holds_every_token(spark, sf_dir):
     assert len(by_bin) <= 1.03 * sum(map(len, ids.values())) / 1024 + 1
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a", "  a\n\n b \n", "it's  don't x", "日本 1234é", "\x1c \x85", ""])
+@pytest.mark.parametrize(
+    "text", ["<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "  a\n\n b \n", "it's  don't x", "日本 1234é", "\x1c \x85", ""]
+)
 def test_same_ids_as_tokenizers(text):
+    from tokenizers import Tokenizer
+
     bpe = packing.ByteBpe(tokenizer_path())
-    assert bpe._quick is not None and bpe.ids(text) == bpe.exact(text)
+    want = np.array(Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert bpe._quick is not None and bpe.ids(text) == bpe.exact(text) == want
+    assert (50256 in np.frombuffer(want, "<u4")) == ("<|endoftext|>" in text)
+
+
+def test_rows_alike_spread_over_groups(spark):
+    docs = spark.createDataFrame([(None, "a b c")] * 4000, "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_path(), group=500).collect()
+    groups = [r["sequence_id"] >> 32 for r in rows]
+    assert len(rows) == 4000 and len(set(groups)) == 8 and max(groups.count(g) for g in set(groups)) < 1000
 
 
 def test_odd_rows(spark, odd_documents, no_documents):
