@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckloom.llm.store import materialise
+from deckloom.llm.store import materialise, reread
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,8 @@ class Projections:
     confidence: float = 0.96
     block: int = 8192  # rows a task searches
     queries: int = 8192  # queries a task answers
-    most_cells: int = 1024
-    sample: int = 8192
+    most_cells: int = 4096
+    sample: int = 32_768
     leaf: int = 64
     seed: int = 11
 
@@ -194,10 +194,10 @@ def nearest(
     points = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.max("asks").alias("asks"))
     points = materialise(points, "points")
     sample = _vectors(points.orderBy("k1", "k2").limit(model.sample).select("v").toArrow()["v"])
-    n, n_queries = points.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    n = points.count()
     depth = max(0, math.ceil(math.log2(max(1, min(n / model.block, model.most_cells)))))
     splits = _splits(_units(sample) @ model.matrix(dimension), depth)
-    subs, parts = max(1, -(-n // (model.block << depth))), max(1, -(-n_queries // model.queries))
+    subs = max(1, -(-n // (model.block << depth)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +214,16 @@ def nearest(
     low, high = (np.array([[b[f"{s}{i}"] for i in range(model.directions)] for b in boxes]) for s in "lh")
 
     asked = index.where("asks").select("k1", "k2", "v", "cell", F.pmod("k2", F.lit(subs)).cast("int").alias("sub"))
-    part = F.pmod(F.xxhash64("k1"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+
+    def dealt(asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The blocks that ``asking`` names, copied for every ``queries`` of
+        them that a block has, and ``asking`` dealt to these copies."""
+        parts = asking.groupBy("cell", "sub").agg(F.ceil(F.count("*") / model.queries).cast("int").alias("parts"))
+        parts = materialise(parts, "parts")
+        blocks = reread(index).select("cell", "sub", "rep", "k1", "k2", "v").join(reread(parts), ["cell", "sub"])
+        blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return blocks, asking.join(parts, ["cell", "sub"]).withColumn("part", part).drop("parts")
 
     def home(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -226,8 +235,8 @@ def nearest(
         cols = zip(*out, strict=True) if out else ((), (), ())
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["k1", "k2", "worst"])
 
-    spread = index.select("cell", "sub", "rep", "k1", "k2", "v", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    first = spread.groupBy("cell", "sub", "part").cogroup(asked.withColumn("part", part).groupBy("cell", "sub", "part"))
+    blocks, asking = dealt(asked)
+    first = blocks.groupBy("cell", "sub", "part").cogroup(asking.groupBy("cell", "sub", "part"))
     bounds = materialise(first.applyInArrow(home, "k1 long, k2 long, worst double"), "bounds")
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +252,8 @@ def nearest(
 
     todo = asked.select("k1", "k2", "v").join(bounds, ["k1", "k2"]).select("k1", "k2", "v", "worst")
     todo = todo.mapInArrow(allowed, f"k1 long, k2 long, v {kind}, worst double, cells array<int>")
-    todo = todo.withColumn("part", part).withColumn("cell", F.explode("cells"))
-    todo = todo.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1)))).drop("cells")
+    todo = materialise(todo.withColumn("cell", F.explode("cells")).drop("cells"), "todo")
+    todo = todo.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -259,7 +268,8 @@ def nearest(
         types = [*[pa.int64()] * 5, pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["k1", "k2", "c1", "c2", "rep", "score"])
 
-    hits = spread.groupBy("cell", "sub", "part").cogroup(todo.groupBy("cell", "sub", "part"))
+    blocks, asking = dealt(todo)
+    hits = blocks.groupBy("cell", "sub", "part").cogroup(asking.groupBy("cell", "sub", "part"))
     hits = hits.applyInArrow(search, "k1 long, k2 long, c1 long, c2 long, rep long, score double")
     best = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "rep")
     hits = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place", "rep")

@@ -6,6 +6,7 @@ from their lineage by writing them below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +21,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` of the session, or where
-    that is unset (local tests) one temporary folder per application."""
+    """The shared folder: ``spark.checkpoint.dir`` of the session, or, where
+    that is unset and Spark runs on this machine alone, one temporary folder
+    per application.  Clusters must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="deckloom-")
@@ -60,6 +65,13 @@ def materialise(df: DataFrame, label: str, *, compression: str = "zstd") -> Data
     return table
 
 
+def reread(table: DataFrame) -> DataFrame:
+    """A materialised table once more, for plans that need it on two sides."""
+    again = table.sparkSession.read.schema(table.schema).parquet(table._materialised_at)
+    again._materialised_at = table._materialised_at
+    return again
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
