@@ -9,7 +9,9 @@ winning path, or its own best container where that path holds little of it.
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,16 +56,29 @@ _ENDS = {
 _SCOPES = frozenset(["table", "ul", "ol", "dl", "article", "body", "html", "div", "section", "main"])
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class _Element:
+    """An element that was open: ``place`` counts elements as they start,
+    ``last`` is the count when it ended; ``near`` are the closest containers
+    around its text; ``agreed`` says how far its path is the host's."""
+
     tag: str
-    path: str
+    step: str
     above: _Element | None
     out: bool
     heading_only: bool
     bonus: bool
-    score: float = 0.0
     place: int = 0
+    last: float = math.inf
+    depth: int = 1
+    agreed: int = 0
+    under: bool = False
+    near: tuple[_Element, ...] = ()
+    score: float = 0.0
+
+    @property
+    def path(self) -> str:
+        return ">".join(reversed([e.step for e in _up(self)]))
 
 
 @dataclass
@@ -89,12 +104,12 @@ class Page:
             best, above = above, above.above
         return best
 
-    def under(self, path: str) -> list[str]:
-        """Texts of the blocks inside elements of that path."""
-        return [text for element, text in self.blocks if any(e.path == path for e in _up(element))]
+    def agreed(self) -> list[str]:
+        """Texts of the blocks inside elements of the host's path."""
+        return [text for element, text in self.blocks if element.under]
 
     def inside(self, container: _Element) -> list[str]:
-        return [text for element, text in self.blocks if any(e is container for e in _up(element))]
+        return [text for element, text in self.blocks if container.place <= element.place <= container.last]
 
 
 def _up(element: _Element | None) -> Iterator[_Element]:
@@ -118,12 +133,15 @@ def _describe(tag: str, attributes: str) -> tuple[str, set[str], bool]:
     return ".".join([tag, *classes]), words, hidden
 
 
-def parse(source: str) -> Page:
-    """Blocks and scored containers of a page; broken markup is read as far
-    as it goes."""
+def parse(source: str, winner: str | None = None) -> Page:
+    """Blocks and scored containers of a page, of any depth; broken markup is
+    read as far as it goes.  ``winner`` is the host's path, where it has one."""
     page = Page()
-    root = _Element("html", "html", None, False, False, False)
+    steps = winner.split(">") if winner else [""]
+    root = _Element("html", "html", None, False, False, False, agreed=int(steps[0] == "html"), under=steps == ["html"])
+    root.near = (root,)
     stack = [root]
+    n_open: Counter[str] = Counter()  # elements of the stack by tag
     parts: list[str] = []
     linked = 0  # characters of the block's text inside links
     in_link = False
@@ -138,14 +156,16 @@ def parse(source: str) -> Page:
                 worth = max(0, len(text) - 2 * linked)
                 if stack[-1].tag in _HEADINGS:
                     worth *= 0.25
-                holders = [e for e in _up(stack[-1]) if e.tag in _CONTAINER]
-                for share, holder in zip((1, 0.5, 0.25), holders, strict=False):
+                for share, holder in zip((1, 0.5, 0.25), stack[-1].near, strict=False):
                     holder.score += worth * share
             parts.clear()
         linked = 0
 
     def close(index: int) -> None:
         flush()
+        for element in stack[index:]:
+            element.last = place
+            n_open[element.tag] -= 1
         del stack[index:]
 
     def text(value: str) -> None:
@@ -170,10 +190,10 @@ def parse(source: str) -> Page:
         if found[1]:
             if tag == "a":
                 in_link = False
-            elif tag == "p" and not any(e.tag == "p" for e in stack):
+            elif tag == "p" and not n_open["p"]:
                 flush()
             elif tag not in ("html", "body"):
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if n_open[tag] else ():
                     if stack[i].tag == tag:
                         close(i)
                         break
@@ -214,7 +234,7 @@ def parse(source: str) -> Page:
                         break
                     if stack[i].tag in _BLOCK:
                         break
-            if tag in _ENDS:
+            if tag in _ENDS and any(n_open[x] for x in _ENDS if tag in _ENDS[x]):
                 for i in range(len(stack) - 1, 0, -1):
                     if tag in _ENDS.get(stack[i].tag, ()):
                         close(i)
@@ -223,15 +243,20 @@ def parse(source: str) -> Page:
                         break
         top = stack[-1]
         header = tag == "header" or (tag not in ("body", "article", "main") and not words.isdisjoint(_HEADER_WORDS))
-        in_article = header and any(e.tag in ("article", "main") for e in stack)
+        in_article = header and n_open["article"] + n_open["main"] > 0
         place += 1
         element = _Element(
-            tag, f"{top.path}>{step}", top, top.out or out or (header and not in_article), top.heading_only or in_article,
-            tag in ("article", "main") or not words.isdisjoint(_INSIDE_WORDS), place=place,
+            tag, step, top, top.out or out or (header and not in_article), top.heading_only or in_article,
+            tag in ("article", "main") or not words.isdisjoint(_INSIDE_WORDS), place=place, depth=top.depth + 1, under=top.under, near=top.near,
         )
-        if len(stack) < 512:  # deeper elements count as their ancestor
-            stack.append(element)
-            if tag in _CONTAINER and not element.out:
+        if top.agreed == top.depth < len(steps) and steps[top.depth] == step:
+            element.agreed = element.depth
+            element.under |= element.depth == len(steps)
+        stack.append(element)
+        n_open[tag] += 1
+        if tag in _CONTAINER:
+            element.near = (element, *top.near)[:3]
+            if not element.out:
                 page.containers.append(element)
     rest = source[at:]  # markup that the end of the page cuts off is no text
     cut = re.search(r"<[a-zA-Z/!?]", rest)
@@ -242,18 +267,23 @@ def parse(source: str) -> Page:
     return page
 
 
+#: Share of the page's own best container that the host's path must hold:
+#: where it lies inside that container, and where it is elsewhere.
+AGREED_INSIDE, AGREED = 0.8, 0.5
+
+
 def main_blocks(source: str, winner: str | None) -> list[str]:
     """The article's blocks: under the host's winning path, unless the page's
-    own best container holds more than twice as much."""
-    page = parse(source)
+    own best container holds more than twice as much, or a quarter more around
+    that path."""
+    page = parse(source, winner)
     best = page.best()
     own = page.inside(best) if best else []
-    if best and winner and winner != best.path:
-        agreed = page.under(winner)
-        if 2 * sum(map(len, agreed)) >= sum(map(len, own)):
+    if best and winner:
+        agreed = page.agreed()
+        around = any(element.under and best.place <= element.place <= best.last for element, _ in page.blocks)
+        if sum(map(len, agreed)) >= (AGREED_INSIDE if around else AGREED) * sum(map(len, own)):
             return agreed
-    elif best and winner:
-        return page.under(winner)
     return own
 
 

@@ -47,3 +47,35 @@ def test_table(spark, sf_dir):
         inner = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x.replace("<b>", ""))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("depth", [505, 520, 20_000])
+def test_any_depth(depth):
+    page = "<div>" * depth + "<nav>MENU TEXT</nav><p>The words of the article itself.</p>" + "</div>" * depth + "<p>after</p>"
+    assert h.main_blocks(page, None)[:1] == ["The words of the article itself."] and "MENU TEXT" not in str(h.main_blocks(page, None))
+
+
+def test_votes_against_plain_counting(spark):
+    """Each page votes for its own best path; hosts take the most votes, the
+    first path of those in code point order."""
+    rows = []
+    for i in range(60):
+        kind = ["c1", "c2", "k"][(i * i) % 7 % 3]
+        rows.append((i, f"http://h{i % 4}.org/{i}", f"<body><div class='{kind}'><p>{'word ' * 30}{i}</p></div><div class=menu><p>x</p></div></body>"))
+    rows.append((99, None, rows[0][2]))
+    votes = {}
+    for _, url, source in rows[:-1]:
+        own = votes.setdefault(url.split("/")[2], {})
+        path = h.parse(source).best().path
+        own[path] = own.get(path, 0) + 1
+    want = {host: min(own, key=lambda p: (-own[p], p)) for host, own in votes.items()}
+    got = h.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["host"]: r["path"] for r in got} == want and set(want.values()) <= {"html>body>div.c#", "html>body>div.k"}
+
+
+def test_a_page_of_two_parts_is_kept():
+    """Where the host's path holds only part of a page's article, the page's
+    own container stands."""
+    text = "Words of the article that go on for a while here. " * 4
+    page = f"<body><div class=whole><div class=a><p>{text}</p></div><div class=b><p>{text}</p></div></div></body>"
+    assert len(h.main_blocks(page, "html>body>div.whole>div.a")) == 2
