@@ -7,6 +7,7 @@ holds one batch and one image at a time.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import re
@@ -156,12 +157,17 @@ def difference_hash(grey: np.ndarray, side: int = 8) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def to_npy(array: np.ndarray) -> bytes:
+@functools.lru_cache(maxsize=256)
+def _npy_head(dtype: str, shape: tuple[int, ...]) -> bytes:
     out = io.BytesIO()
-    np.save(out, array, allow_pickle=False)
+    np.lib.format.write_array_header_1_0(out, {"descr": dtype, "fortran_order": False, "shape": shape})
     return out.getvalue()
 
 
+def to_npy(array: np.ndarray) -> bytes:
+    return _npy_head(np.lib.format.dtype_to_descr(array.dtype), array.shape) + array.tobytes()
+
+
 def npy_tiles(grey: np.ndarray, tile: int) -> list[tuple[int, int, bytes]]:
     """(top, left, NPY bytes) of tiles of at most ``tile`` samples a side."""
     return [
@@ -214,35 +220,41 @@ def store_payload(payload: bytes, form: str = "pgm") -> bytes:
 
 STORED = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string, height int, tile_crc32 long"
+    "media_bytes long, media_sha256 string, feature string, height int, tiles array<struct<top:int,left:int,npy:binary>>"
 )
+#: Samples a side of a stored text's small image, and of its tiles.
+SMALL, TILE = 16, 8
 
 
 def text_media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", form: str = "pgm") -> DataFrame:
     """Store each text's UTF-8 bytes as an image, read it back, describe it.
 
     Null text counts as empty; an empty text is one row of 64 zero samples.
-    Equal texts give equal values whatever their ids; rows are never merged,
-    other columns are ignored, and an empty table gives no rows.
+    ``feature`` is the image's difference hash, ``tiles`` are the NPY tiles of
+    the image area-resized to 16 x 16.  Equal texts give equal values whatever
+    their ids; rows are never merged, other columns are ignored, and an empty
+    table gives no rows.
     """
 
     def describe(data: bytes):
         media = store_payload(data + bytes(-len(data) % PAYLOAD_WIDTH or (0 if data else PAYLOAD_WIDTH)), form)
         image = decode(media)
         payload = image.tobytes()
-        tile = to_npy(np.clip(np.rint(area_resize(luma(image), 8, 8)), 0, 255).astype(np.uint8))
+        grey = luma(image)
+        small = np.clip(np.rint(area_resize(grey, SMALL, SMALL)), 0, 255).astype(np.uint8)
         return (
             len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_WIDTH:]),
-            len(media), hashlib.sha256(media).hexdigest(), difference_hash(luma(image)), image.shape[0],
-            zlib.crc32(tile),
+            len(media), hashlib.sha256(media).hexdigest(), difference_hash(grey), image.shape[0],
+            [{"top": y, "left": x, "npy": npy} for y, x, npy in npy_tiles(small, TILE)],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in STORED.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+        tile = pa.struct([("top", pa.int32()), ("left", pa.int32()), ("npy", pa.binary())])
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(tile)]
         for batch in batches:
             done = [describe(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1).cast(pa.large_binary())]
             cols = list(zip(*done, strict=True)) if done else [()] * len(types)
             yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, STORED)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, STORED)
