@@ -17,7 +17,7 @@ from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -28,7 +28,8 @@ def field_paths(schema: DataType, prefix: str = "") -> list[str]:
         return sorted(chain.from_iterable(field_paths(f.dataType, f"{prefix}.{f.name}".lstrip(".")) for f in schema))
     if isinstance(schema, ArrayType):
         return field_paths(schema.elementType, prefix + "[]")
-    return [f"{prefix}:{'string' if schema.typeName() in ('string', 'varchar', 'char') else schema.typeName()}"]
+    kind = schema.typeName()
+    return [f"{prefix}:{'string' if kind in ('varchar', 'char') else 'number' if isinstance(schema, NumericType) else kind}"]
 
 
 def fingerprint(paths) -> str:
@@ -39,17 +40,26 @@ def fingerprint(paths) -> str:
 @dataclass(frozen=True)
 class Layout:
     """A mapping: the paths it needs, those it can use, and its turns as an
-    SQL expression of the table's columns."""
+    SQL expression of the table's columns.  With ``order``, a row is one turn
+    and the expression is that turn; a conversation's rows come in that order."""
 
     name: str
     needs: tuple[str, ...]
     uses: tuple[str, ...]
     turns: str
+    order: str | None = None
 
-    def prints(self) -> list[str]:
-        """Fingerprints of the sets of paths that select it."""
-        extra = chain.from_iterable(combinations(self.uses, n) for n in range(len(self.uses) + 1))
-        return [fingerprint([*self.needs, *x]) for x in extra]
+
+def fingerprint_map(layouts) -> dict[str, str]:
+    """The layouts that each set of paths selects, by its fingerprint: one,
+    or several, joined by ``+``, whose paths a row fills at once."""
+    out: dict[str, str] = {}
+    for some in chain.from_iterable(combinations(layouts, n) for n in range(1, len(layouts) + 1)):
+        needs = {p for x in some for p in x.needs}
+        uses = sorted({p for x in some for p in x.uses} - needs)
+        for extra in chain.from_iterable(combinations(uses, n) for n in range(len(uses) + 1)):
+            out.setdefault(fingerprint([*needs, *extra]), "+".join(x.name for x in some))
+    return out
 
 
 #: Speakers of foreign layouts, by their names in canonical turns.
@@ -84,52 +94,58 @@ LAYOUTS = (
     Layout("prompt_response", ("prompt:string", "response:string"), ("system:string",), _pair("prompt", "response")),
     Layout("prompt_completion", ("completion:string", "prompt:string"), ("system:string",), _pair("prompt", "completion")),
     Layout("question_answer", ("answer:string", "question:string"), ("system:string",), _pair("question", "answer")),
+    Layout("rows_by_turn", ("role:string", "text:string", "turn:number"), (),
+           "named_struct('role', coalesce(role, ''), 'text', coalesce(text, ''))", order="turn"),
 )
 
-#: Rows by turn: needs grouping, so whole tables select it, not rows.
-ROWS_BY_TURN = ("role:string", "text:string", "turn")
-
 
 def _column_of(path: str) -> str:
     return path.split(":")[0].split("[]")[0].split(".")[0]
 
 
-def _rows_by_turn(paths: list[str]) -> bool:
-    names = [p if p.endswith(":string") else p.split(":")[0] for p in paths]
-    return fingerprint(set(names) & set(ROWS_BY_TURN)) == fingerprint(ROWS_BY_TURN)
-
-
 def canonical_turns(table: DataFrame, conv_id: str) -> DataFrame:
     """(conv_id, layout, turns) of a table of any known layout.
 
-    A table of rows by turn gives one row a conversation, ordered by turn,
-    null turns first, ties by role and text; repeated rows stay.  Other tables
-    give one row a row: the paths that are not null there select the mapping,
-    so one table may mix layouts.  Rows of no known layout have a null layout
-    and no turns.  Null roles and texts are empty.  Columns that no layout
-    names are ignored.
+    The paths of a table's schema that layouts name, hashed, select a layout
+    for the whole table if it is one of rows by turn: one row a conversation,
+    ordered by turn, null turns first, ties by role and text; repeated rows
+    stay, and rows of a null id are one conversation.  Other tables give one
+    row a row: the paths that are not null there, hashed, select the mapping,
+    so one table may mix layouts.  A row that fills several layouts has the
+    turns of each, in the order of ``LAYOUTS``.  Rows of no known layout have a
+    null layout and no turns.  Null roles and texts are empty; an empty table
+    gives no rows.  Columns that no layout names are ignored, whatever their
+    names.
     """
-    paths = field_paths(table.schema)
-    own = [p for p in paths if _column_of(p) != conv_id]
-    if _rows_by_turn(own):
-        turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        turns = F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-        grouped = table.groupBy(F.col(conv_id).alias("conv_id")).agg(turns.alias("turns"))
-        return grouped.select("conv_id", F.lit("rows_by_turn").alias("layout"), "turns")
-    known = sorted(set(own) & {p for x in LAYOUTS for p in (*x.needs, *x.uses)})
-    usable = [x for x in LAYOUTS if set(x.needs) <= set(known)]
+    own = {p for p in field_paths(table.schema) if _column_of(p) != conv_id}
+    usable = [x for x in LAYOUTS if set(x.needs) <= own]
+    known = sorted(own & {p for x in usable for p in (*x.needs, *x.uses)})
+    selects = fingerprint_map(usable)
+    if by_turn := [x for x in usable if x.order and selects.get(fingerprint(known)) == x.name]:
+        return _grouped(table, conv_id, by_turn[0])
+    usable = [x for x in usable if not x.order]
     if not usable:
         return table.select(F.col(conv_id).alias("conv_id"), F.lit(None).cast("string").alias("layout"), F.array().cast(TURNS).alias("turns"))
+    known = sorted(own & {p for x in usable for p in (*x.needs, *x.uses)})
     missing = {_column_of(p) for x in usable for p in x.uses} - {_column_of(p) for p in known}
-    table = table.withColumns({c: F.lit(None).cast("string") for c in missing} | {conv_id: F.col(conv_id)})
+    rows = table.select(
+        F.col(conv_id).alias("__id"), *sorted({_column_of(p) for p in known}), *[F.lit(None).cast("string").alias(c) for c in sorted(missing)]
+    )
     held = [F.when(F.col(_column_of(p)).isNotNull(), F.lit(p)) for p in known]
     print_ = F.sha2(F.array_join(F.array_compact(F.array(*held)), "\n"), 256)
-    mapping = F.create_map(*[F.lit(y) for x in usable for f in x.prints() for y in (f, x.name)])
-    rows = table.withColumn("__layout", F.try_element_at(mapping, print_))
-    turns = F.array().cast(TURNS)
-    for x in usable:
-        turns = F.when(F.col("__layout") == x.name, F.expr(x.turns).cast(TURNS)).otherwise(turns)
-    return rows.select(F.col(conv_id).alias("conv_id"), F.col("__layout").alias("layout"), turns.alias("turns"))
+    mapping = F.create_map(*[F.lit(y) for item in fingerprint_map(usable).items() for y in item])
+    rows = rows.withColumn("__layout", F.try_element_at(mapping, print_))
+    chosen = F.split(F.coalesce("__layout", F.lit("")), r"\+")
+    none = F.array().cast(TURNS)
+    turns = [F.when(F.array_contains(chosen, x.name), F.expr(x.turns).cast(TURNS)).otherwise(none) for x in usable]
+    return rows.select(F.col("__id").alias("conv_id"), F.col("__layout").alias("layout"), F.concat(*turns).alias("turns"))
+
+
+def _grouped(table: DataFrame, conv_id: str, layout: Layout) -> DataFrame:
+    turn = F.struct(F.col(layout.order).alias("at"), F.expr(layout.turns).alias("turn"))
+    turns = F.transform(F.sort_array(F.collect_list(turn)), lambda t: t["turn"]).cast(TURNS)
+    grouped = table.groupBy(F.col(conv_id).alias("conv_id")).agg(turns.alias("turns"))
+    return grouped.select("conv_id", F.lit(layout.name).alias("layout"), "turns")
 
 
 @dataclass(frozen=True)
@@ -158,7 +174,12 @@ class Template:
 
 def format_chat(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """Add ``formatted`` and ``loss``: (start, length) in code points of each
-    learned turn's escaped text."""
+    learned turn's escaped text.
+
+    Null turns, and none, give an empty text and no spans.  Rows are formatted
+    one by one; an empty table gives no rows; columns of the two names are
+    replaced and others kept.
+    """
     t = template or Template()
     marked = F.transform(
         "turns",
@@ -177,11 +198,10 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
         spans = F.when(x["learned"], F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
         return F.struct((begin + size + F.lit(len(t.end))).alias("at"), spans.alias("spans"))
 
-    text = F.array_join(F.transform("marked", lambda x: F.concat(x["head"], x["text"], F.lit(t.end))), "")
-    rows = conversations.withColumn("marked", marked)
-    return rows.select(
-        *conversations.columns, text.alias("formatted"), F.aggregate("marked", nothing, step)["spans"].alias("loss")
-    )
+    text = F.array_join(F.transform("__marked", lambda x: F.concat(x["head"], x["text"], F.lit(t.end))), "")
+    rows = conversations.withColumn("__marked", F.coalesce(marked, F.expr("filter(array(named_struct('head', '', 'text', '', 'learned', false)), x -> false)")))
+    kept = [c for c in conversations.columns if c not in ("formatted", "loss")]
+    return rows.select(*kept, text.alias("formatted"), F.aggregate("__marked", nothing, step)["spans"].alias("loss"))
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:

@@ -63,3 +63,18 @@ def test_no_python_in_the_plan(spark, sf_dir, capsys):
 
     op2_chat(spark, sf_dir).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_rows_of_two_layouts_keep_their_content(spark):
+    rows = ['{"id":1,"prompt":"p","response":"r","completion":"c"}', '{"id":2,"prompt":"p","completion":"c"}', '{"id":3,"prompt":"p"}']
+    got = {r["conv_id"]: r for r in chat.canonical_turns(spark.read.json(spark.sparkContext.parallelize(rows)), "id").collect()}
+    assert got[1]["layout"] == "prompt_response+prompt_completion"
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", "p"), ("assistant", "r"), ("user", "p"), ("assistant", "c")]
+    assert got[2]["layout"] == "prompt_completion" and got[3]["layout"] is None and got[3]["turns"] == []
+
+
+def test_tables_select_rows_by_turn_by_their_print(spark):
+    both = spark.createDataFrame([(1, 0, "user", "x", "p", "r")], "id long, turn int, role string, text string, prompt string, response string")
+    assert chat.canonical_turns(both, "id").first()["layout"] == "prompt_response"
+    assert chat.canonical_turns(both.drop("prompt"), "id").first()["layout"] == "rows_by_turn"
+    assert chat.canonical_turns(both.drop("prompt", "text"), "id").first()["layout"] is None
