@@ -44,22 +44,19 @@ def _ranked(keys: DataFrame, order: Sequence[Column]) -> DataFrame:
 def _water_level(sources: DataFrame, share: float, most: int) -> float:
     """The level L with sum(min(most * size, L * weight)) = share * sum(size).
 
-    Each round caps the sources above their limit and shares the rest by
-    weight; a round is one aggregate of two sums.
+    Sources reach their limit in the order of size / weight, so prefix sums in
+    that order give each source's level if all before it are at their limit;
+    the first whose own limit that level does not pass has the answer.
     """
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, capped = 0.0, -1
-    while True:
-        over = F.col("weight") * F.lit(level) > F.col("source_size") * most
-        row = sources.agg(
-            F.sum(F.when(over, F.col("source_size") * most).otherwise(0)).alias("fixed"),
-            F.sum(F.when(over, 0).otherwise(F.col("weight"))).alias("weight"),
-            F.count(F.when(over, 1)).alias("n"),
-        ).first()
-        if row["n"] == capped or not row["weight"]:
-            return level
-        capped = row["n"]
-        level = (share * total - row["fixed"]) / row["weight"]
+    limit = F.col("source_size") * most
+    upto = Window.orderBy(limit / F.col("weight"), "src").rowsBetween(Window.unboundedPreceding, -1)  # one row a source
+    fixed, before = F.coalesce(F.sum(limit).over(upto), F.lit(0)), F.coalesce(F.sum("weight").over(upto), F.lit(0))
+    weight = sources.agg(F.sum("weight")).first()[0] or 0
+    levels = sources.select("src", "weight", limit.alias("limit"), ((share * total - fixed) / (weight - before)).alias("level"))
+    row = levels.where(F.col("level") * F.col("weight") <= F.col("limit"))
+    row = row.agg(F.min_by("level", F.struct(F.col("limit") / F.col("weight"), "src")).alias("level")).first()
+    return row["level"] or 0.0
 
 
 def mix_sources(
@@ -123,21 +120,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row once per epoch that takes any
     of its words, all columns kept.  Rows with no word taken go.
 
-    Rows of the same id and text size share one decision (the largest).
+    Rows of the same id, source and size share one decision (the largest), so
+    they may exceed the budget by what the others of them were not to give.
+    Null and empty texts go; an empty table stays empty.  Columns of any name
+    are allowed: rows travel as one struct.
     """
-    names = docs.columns
-    ident, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    ident, text, src = (options.get(c, c) for c in ("doc_id", "text", "source"))
     plan = mix_sources(docs, **options)
-    src = options.get("source", "source")
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    plan = plan.groupBy(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")
-    ).agg(F.max(times).alias("__times"))
-    mine = docs.withColumn("__words", word_count(F.col(text)))
-    same = (
-        mine[ident].eqNullSafe(plan["__id"])
-        & mine[src].cast("string").eqNullSafe(plan["__source"])
-        & (mine["__words"] == plan["__size"])
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).agg(F.max(times).alias("times"))
+    mine = docs.select(
+        F.struct("*").alias("row"), F.col(ident).alias("own_id"), F.col(src).cast("string").alias("own_source"), word_count(F.col(text)).alias("words")
     )
-    out = mine.join(plan, same).where(F.col("__times") > 0)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    same = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    out = mine.join(plan, same).where(F.col("times") > 0)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

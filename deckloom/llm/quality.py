@@ -206,8 +206,12 @@ def fit_quality(
     """Learn from labelled rows that are not held out.
 
     At most ``training_rows`` rows take part; labels of one id that disagree
-    count as the larger, null labels and ids as absent.
+    count as the larger, null labels and ids as absent.  Null texts count as
+    empty, repeated rows as examples of their own.  A table without the column
+    ``declared`` is learnt without it; other columns, whatever their names,
+    are ignored.  Without labelled rows every text scores one half.
     """
+    declared = declared if declared in docs.columns else None
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id"))
     known = known.agg((F.max(label) > 0).alias("__label")).where(~held_out("__id"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(training_rows)
@@ -249,8 +253,10 @@ def score_quality(
     """doc_id, held_out, score and predicted of every row.
 
     Null text counts as empty, which has a score like any other; null ids and
-    repeated rows are scored one by one.  Other columns are ignored.
+    repeated rows are scored one by one.  Other columns are ignored; an empty
+    table gives no rows.
     """
+    declared = declared if declared in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, 2):
@@ -268,7 +274,11 @@ def score_quality(
 
 
 def keep_quality(docs: DataFrame, model: FactorisationMachine, *, text: str = "text", declared: str | None = "n_chars", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns kept, that score at least ``threshold``."""
+    """The rows of ``docs``, all columns kept, that score at least ``threshold``.
+
+    Null texts are judged as empty ones; repeated rows and null ids one by one;
+    an empty table stays empty.  Columns of any name are allowed: none is added.
+    """
     at, declared_at = docs.columns.index(text), docs.columns.index(declared) if declared in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
