@@ -23,6 +23,7 @@ HINTS = {
 DIAGRAM_HINT_SUFFIX = (
     "If this is a flowchart or process diagram, additionally output the structure as a Mermaid 'flowchart TD' code block fenced with ```mermaid."
 )
+# Media types by extension.
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
 
 

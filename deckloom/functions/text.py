@@ -66,6 +66,17 @@ def mask_text(text: Column, masking: MaskingOptions | None) -> Column:
     return text
 
 
+def mask_count(text: Column, masking: MaskingOptions | None) -> Column:
+    """How many matches :func:`mask_text` replaces."""
+    total = F.lit(0).cast("long")
+    if masking is None or not masking.enabled:
+        return total
+    for pattern in masking.patterns:
+        total = total + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(MASK_TOKEN))
+    return total
+
+
 def paragraphs_markdown(paragraphs: Column, masking: MaskingOptions | None = None) -> Column:
     """Paragraphs as lines, those below level 0 as indented bullets."""
 

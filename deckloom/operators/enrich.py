@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckloom.functions.images import is_vector, shape_hint
-from deckloom.functions.text import data_url, flowchart_fence
+from deckloom.functions.text import MaskingOptions, data_url, flowchart_fence, mask_count, normalize_text
 from deckloom.operators.complexity import complexity_scores, route_slides
 from deckloom.operators.render import assemble_slides
 from deckloom.providers import ImageDescriber, SlideContext, SlideReconstructor
@@ -61,21 +61,22 @@ def image_groups(shapes: DataFrame, *, diagram_mermaid: bool = False) -> DataFra
 
 
 def enrich_descriptions(
-    shapes: DataFrame, describer: ImageDescriber | None, *, diagram_mermaid: bool = False, max_workers: int | None = None
+    shapes: DataFrame, describer: ImageDescriber | None, *, diagram_mermaid: bool = False, max_workers: int | None = 4
 ) -> DataFrame:
     """``shapes`` with ``description`` filled for images; without a describer,
     as they are.
 
     Calls are made once for each distinct content, extension and hint over all
-    decks; ``max_workers`` bounds the tasks that make them.  Persist the result
-    before reading it twice: each read makes the calls again.
+    decks; ``max_workers``, at least 1, bounds the tasks that make them (a task
+    without a job makes none), and none leaves that to Spark.  Persist the
+    result before reading it twice: each read makes the calls again.
     """
     if describer is None:
         return shapes
     groups = image_groups(shapes, diagram_mermaid=diagram_mermaid)
     contents = shapes.where(F.col("kind") == "image").select(F.sha2("image_bytes", 256).alias("hash"), "image_bytes").dropDuplicates(["hash"])
     jobs = groups.select("hash", "extension", "hint").distinct().join(contents, "hash")
-    if max_workers:
+    if max_workers is not None:
         jobs = jobs.repartition(max(1, max_workers))
     done = described(jobs, describer)
     same = ["hash", "extension"]
@@ -84,9 +85,10 @@ def enrich_descriptions(
     if diagram_mermaid:
         text = F.when(F.col("classification") == "diagram", F.coalesce(flowchart_fence(text), text)).otherwise(text)
     found = found.select("deck_id", "hash", text.alias("found"))
-    keyed = shapes.withColumn("hash", F.when((F.col("kind") == "image") & (F.length("image_bytes") > 0), F.sha2("image_bytes", 256)))
-    joined = keyed.join(found, ["deck_id", "hash"], "left")
-    return joined.withColumn("description", F.coalesce("found", "description")).select(*shapes.columns)
+    is_image = F.coalesce((F.col("kind") == "image") & (F.length("image_bytes") > 0), F.lit(False))
+    joined = shapes.where(is_image).withColumn("hash", F.sha2("image_bytes", 256)).join(found, ["deck_id", "hash"], "left")
+    joined = joined.withColumn("description", F.coalesce("found", "description")).select(*shapes.columns)
+    return shapes.where(~is_image).unionByName(joined)  # shapes without an image take no part in the join
 
 
 def reconstruct_slides(
@@ -104,13 +106,16 @@ def reconstruct_slides(
     embed: bool = False,
     render_dpi: int = DPI,
     max_workers: int = 4,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
     """``slides`` with ``reconstructed_md`` filled for those that are routed,
     rendered and reconstructed; all others are as they were.
 
     A deck's selected slides are rendered by one call and reconstructed by one
     call for each distinct render, whose first slide gives the context, at
-    most ``max_workers`` of a deck at a time.  No-op
+    most ``max_workers`` of a deck at a time.  Decks are rendered from their
+    bytes in ``contents`` (path, content), so that they may lie on any file
+    system that Spark reads; without it from ``source_path``.  No-op
     without a reconstructor or where decks cannot be rendered; ``available``
     tells that, and counts as true for a renderer other than the default.
     """
@@ -129,10 +134,17 @@ def reconstruct_slides(
         .join(outline, ["deck_id", "slide_index"])
         .join(decks.select("deck_id", "source_path"), "deck_id", "left")
     )
+    files = None
+    if contents is not None:  # bytes once a deck, not once a slide
+        wanted = work.select("deck_id", "source_path").distinct()
+        files = wanted.join(contents.select(F.col("path").alias("source_path"), "content"), "source_path").select(F.col("deck_id").alias("owner"), "content")
 
-    def run(deck: pd.DataFrame) -> pd.DataFrame:
+    def run(deck: pd.DataFrame, file: pd.DataFrame | None = None) -> pd.DataFrame:
         deck = deck.sort_values("slide_index")
-        pngs = renderer(deck["source_path"].iloc[0], deck["slide_index"].tolist(), dpi=render_dpi)
+        if not len(deck):
+            return pd.DataFrame([], columns=["deck_id", "slide_index", "found", "png"])
+        source = bytes(file["content"].iloc[0]) if file is not None and len(file) else deck["source_path"].iloc[0]
+        pngs = renderer(source, deck["slide_index"].tolist(), dpi=render_dpi)
         rows = [(r, png, hashlib.sha256(png).hexdigest()) for r in deck.itertuples() if (png := pngs.get(r.slide_index)) is not None]
         first = {key: (r, png) for r, png, key in reversed(rows)}
 
@@ -148,7 +160,11 @@ def reconstruct_slides(
         out = [(r.deck_id, r.slide_index, texts[key], png if embed else None) for r, png, key in rows if texts[key] is not None]
         return pd.DataFrame(out, columns=["deck_id", "slide_index", "found", "png"])
 
-    found = work.groupBy("deck_id").applyInPandas(run, "deck_id STRING, slide_index INT, found STRING, png BINARY")
+    schema = "deck_id STRING, slide_index INT, found STRING, png BINARY"
+    if files is None:
+        found = work.groupBy("deck_id").applyInPandas(lambda deck: run(deck), schema)
+    else:
+        found = work.groupBy("deck_id").cogroup(files.groupBy("owner")).applyInPandas(lambda deck, file: run(deck, file), schema)
     text = F.concat(F.coalesce(data_url(F.col("png")), F.lit("")), F.col("found"))
     joined = slides.join(found.select("deck_id", "slide_index", text.alias("found")), ["deck_id", "slide_index"], "left")
     return joined.withColumn("reconstructed_md", F.coalesce("found", "reconstructed_md")).select(*slides.columns)
@@ -163,6 +179,14 @@ def reconstruction_metrics(routed: DataFrame, before: DataFrame, after: DataFram
     return counts.agg(F.count("*").alias("routed"), F.count("ok").alias("success"), (F.count("*") - F.count("ok")).alias("fallback"))
 
 
+def masking_metrics(shapes: DataFrame, masking: MaskingOptions) -> DataFrame:
+    """(deck_id, matches) of masking the decks' texts: counts alone, never
+    content."""
+    texts = F.transform("paragraphs", lambda p: mask_count(normalize_text(F.coalesce(p["text"], F.lit(""))), masking))
+    total = F.coalesce(F.aggregate(texts, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0))
+    return shapes.groupBy("deck_id").agg(F.sum(total).alias("matches"))
+
+
 def description_metrics(shapes: DataFrame) -> DataFrame:
     """(deck_id, images, calls, cache_hits): counts alone, never content."""
     groups = image_groups(shapes).groupBy("deck_id")
@@ -170,5 +194,5 @@ def description_metrics(shapes: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "described", "description_metrics", "enrich_descriptions", "image_groups", "is_vector", "reconstruct_slides", "reconstruction_metrics",
+    "described", "description_metrics", "enrich_descriptions", "image_groups", "is_vector", "masking_metrics", "reconstruct_slides", "reconstruction_metrics",
 ]

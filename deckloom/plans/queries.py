@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckloom.api import convert_contents, to_markdown
+from deckloom.api import ConvertOptions, convert_contents, to_markdown
 from deckloom.functions import headings, images, tables, text
 from deckloom.operators.assemble import assemble_documents, suppress_repeated_labels
 from deckloom.operators.complexity import complexity_scores, has_columns, route_slides
-from deckloom.operators.enrich import enrich_descriptions, image_groups, reconstruct_slides
+from deckloom.operators.enrich import enrich_descriptions, image_groups, masking_metrics, reconstruct_slides
 from deckloom.operators.render import assemble_slides, reading_order
 from deckloom.operators.validate import heading_level, is_separator_row, row_cells, validate_documents
 from deckloom.plans import views
@@ -54,9 +54,12 @@ def single_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def toc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside every document's slide one without shapes, half of them without
+    a title."""
     slides, shapes = views.document_decks(spark, sf_dir)
-    slides = slides.withColumn("title", F.when(F.col("slide_index") % 2 == 0, F.lit("")).otherwise(F.col("title")))
-    return assemble_documents(slides, shapes.where("slide_index % 3 != 0"), emit_toc=True)
+    title = F.when(F.col("slide_index") % 2 == 0, F.lit("")).otherwise(F.col("title"))
+    bare = slides.withColumns({"slide_index": F.col("slide_index") + 10_000_000, "title": title})
+    return assemble_documents(slides.unionByName(bare), shapes, emit_toc=True)
 
 
 @query
@@ -98,8 +101,10 @@ def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def notes_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = F.when(F.col("turn") % 4 == 0, F.lit(" \x0b ")).otherwise(F.replace("text", F.lit(" "), F.lit("\x0b")))
-    return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", headings.notes_block(notes).alias("notes"))
+    """Notes of every turn, and as many blank ones."""
+    turns = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace("text", F.lit(" "), F.lit("\x0b")).alias("notes"))
+    blank = turns.select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.lit(" \x0b ").alias("notes"))
+    return turns.unionByName(blank).withColumn("notes", headings.notes_block(F.col("notes")))
 
 
 def _tables(render: Callable[..., object]) -> Query:
@@ -276,8 +281,9 @@ def suppress_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flowcharts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("doc_id") % 3 == 0, F.lit("flowchart TD")).when(F.col("doc_id") % 3 == 1, F.lit("Graph LR;")).otherwise(F.lit("graphic"))
-    body = F.concat(F.lit("before\n```Mermaid \n\n"), first, F.lit("  \n"), F.replace(F.substr("text", F.lit(1), F.lit(60)), F.lit(" "), F.lit(" \n")), F.lit("\n\n```\n```mermaid\nx\n```"))
-    said = F.when(F.col("doc_id") % 5 == 0, F.lit("no fence")).otherwise(body)
+    lines = F.replace(F.replace("text", F.lit("```"), F.lit("''\'")), F.lit(" "), F.lit(" \n"))
+    body = F.concat(F.lit("before\n```Mermaid \n\n"), first, F.lit("  \n"), lines, F.lit("\n\n```\n```mermaid\nx\n```"))
+    said = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("no fence "), lines)).otherwise(body)
     return views.table(spark, sf_dir, "documents").select("doc_id", text.flowchart_fence(said).alias("fence"))
 
 
@@ -289,8 +295,10 @@ def validate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def validate_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("markdown"))
-    done = validate_documents(docs)
+    """Every document, and as many null ones."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"))
+    null = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("markdown"))
+    done = validate_documents(docs.unionByName(null))
     return done.select("doc_id", "valid", F.array_join("warnings", "\n").alias("warnings"))
 
 
@@ -336,6 +344,53 @@ def convert_deck_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_markdown(split_records(parse_files(_deck_files(spark, sf_dir))))
 
 
+def _rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck file for each part: a picture, a chart, a diagram, a connector
+    and notes on the first slide, and a group of a text, a table and a group
+    on the second."""
+    spec = views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_name", "p_type", "p_brand")
+
+    def run(batches):
+        from deckloom.sources.writer import SlideXml, write_deck
+
+        for batch in batches:
+            contents = []
+            for name, kind, brand in zip(batch["p_name"], batch["p_type"], batch["p_brand"], strict=True):
+                first = SlideXml(notes=f"{name}\x0b{brand}").text([(name, 0)], placeholder="title", at=(0, 0, 9, 9))
+                first.image(b"no image", at=(0, 1_000_000, 9, 9)).chart(kind, [name, brand], "series", at=(0, 2_000_000, 9, 9))
+                first.diagram([brand, kind], at=(0, 3_000_000, 9, 9)).connector(at=(0, 4_000_000, 9, 9))
+                inner = SlideXml().text([(kind, 0), (brand, 1)])
+                group = SlideXml().text([(name, 0)]).table([["a", "b"], [brand, name]]).group(inner)
+                contents.append(write_deck([first, SlideXml().group(group)]))
+            yield batch[["path"]].assign(content=contents)
+
+    return spec.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path STRING, content BINARY")
+
+
+@query
+def convert_rich_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures, frames, nested groups and notes, from packages to Markdown,
+    validated on the way."""
+    done = convert_contents(_rich_files(spark, sf_dir), ConvertOptions(include_notes=True, validate=True))
+    return done.select("deck_id", "markdown", "valid", F.array_join("warnings", "\n").alias("warnings"))
+
+
+@query
+def rich_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds and places of the shapes of those decks, groups' children below
+    their group."""
+    rows = parse_files(_rich_files(spark, sf_dir)).where("record = 'shape'")
+    place = F.array_join(F.transform("path", lambda x: x.cast("string")), ".")
+    return rows.select("deck_id", "slide_index", place.alias("place"), "kind", F.coalesce("fallback_text", F.lit("")).alias("fallback_text"))
+
+
+@query
+def masking_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that masking finds in each source's documents."""
+    _, shapes = views.document_decks(spark, sf_dir)
+    return masking_metrics(shapes, text.MaskingOptions(enabled=True, patterns=(r"[A-Z][a-z]+", r"\d+")))
+
+
 @query
 def pixel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images drawn from part keys, decoded and measured; plain colours have

@@ -252,11 +252,12 @@ ORACLES: dict[str, str] = {
     ),
     "single_slides": f"SELECT source AS deck_id, doc_id::INT AS slide_index, {joined(DOC_HEADING, DOC_BODY)} AS markdown FROM ({DOC_LINES})",
     "toc_filter": deck(
-        f"SELECT source, doc_id, CASE WHEN body IS NULL OR {strip('body')} = '' THEN CASE WHEN doc_id % 2 = 1 AND lines[1] != '' THEN {DOC_HEADING} END "
-        f"ELSE {joined('CASE WHEN doc_id % 2 = 0 THEN ' + chr(39) + '## Slide ' + chr(39) + ' || (doc_id + 1) ELSE ' + DOC_HEADING + ' END', 'body')} END AS block "
-        f"FROM (SELECT *, CASE WHEN doc_id % 3 != 0 THEN {DOC_BODY} END AS body FROM ({DOC_LINES}))",
+        f"SELECT source, place, CASE WHEN {strip('body')} = '' THEN CASE WHEN title != '' THEN '## ' || title END "
+        f"ELSE {joined('CASE WHEN title = ' + chr(39) * 2 + ' THEN ' + chr(39) + '## Slide ' + chr(39) + ' || (place + 1) ELSE ' + chr(39) + '## ' + chr(39) + ' || title END', 'body')} END AS block "
+        f"FROM (SELECT source, doc_id AS place, lines[1] AS title, {DOC_BODY} AS body FROM ({DOC_LINES}) "
+        f"UNION ALL SELECT source, doc_id + 10000000, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lines[1] END, '' FROM ({DOC_LINES}))",
         "source",
-        "doc_id",
+        "place",
     ),
     "masked_documents": deck(f"SELECT *, {joined(DOC_HEADING, DOC_MASKED)} AS block FROM ({DOC_LINES})", "source", "doc_id"),
     "normalize_text": f"SELECT doc_id, {collapse(norm('replace(' + rough('text') + ', chr(10), chr(10) || chr(10) || chr(10))'))} AS clean FROM documents",
@@ -266,7 +267,7 @@ ORACLES: dict[str, str] = {
         "SELECT c_custkey, '## ' || r_name || chr(10) || '### ' || n_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || '#### ' || c_name END AS headings, "
         "r_name AS section FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
     ),
-    "notes_blocks": f"SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '' ELSE {NOTES} END AS notes FROM conversations",
+    "notes_blocks": f"SELECT conv_id, turn, {NOTES} AS notes FROM conversations UNION ALL SELECT conv_id, turn + 1000000, '' FROM conversations",
     "gfm_table": of_tables(GFM),
     "mermaid_table": of_tables(fenced("mermaid", "%% ")),
     "table_data": of_tables(fenced("table-data", "")),
@@ -335,10 +336,10 @@ ORACLES: dict[str, str] = {
     "flowcharts": f"""
       SELECT doc_id, CASE WHEN doc_id % 5 != 0 AND doc_id % 3 != 2 THEN '```mermaid' || chr(10) || regexp_replace(
         CASE doc_id % 3 WHEN 0 THEN 'flowchart TD' ELSE 'Graph LR;' END || chr(10) || array_to_string(list_transform(
-          string_split(replace(substr(text, 1, 60), ' ', ' ' || chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\s+$', '')
+          string_split(replace(replace(text, '```', chr(39) || chr(39) || chr(39)), ' ', ' ' || chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\s+$', '')
         || chr(10) || '```' END AS fence FROM documents""",
     "validate_structure": validation(f"SELECT doc_id, {_structured} AS md FROM documents"),
-    "validate_plain": validation("SELECT doc_id, CASE WHEN doc_id % 7 != 0 THEN text END AS md FROM documents"),
+    "validate_plain": validation("SELECT doc_id, text AS md FROM documents UNION ALL SELECT -1 - doc_id, NULL FROM documents"),
     "deck_source": (
         "SELECT doc_id::VARCHAR AS deck_id, 0 AS slide_index, 0 AS place, true AS is_title, '0 ' || lines[1] AS paragraphs FROM (" + DOC_LINES + ") UNION ALL "
         "SELECT doc_id::VARCHAR, 0, 1, false, coalesce(array_to_string(list_transform(lines[2:], lambda x, i: ((i - 1) % 2) || ' ' || x), chr(10)), '') FROM (" + DOC_LINES + ")"
@@ -354,7 +355,24 @@ ORACLES: dict[str, str] = {
     ),
 }
 
-
+ORACLES["convert_rich_decks"] = f"""
+  SELECT p_partkey::VARCHAR AS deck_id, '## ' || p_name || {BLANK} || '![슬라이드 1 이미지 1]' || {BLANK} || p_type || ' series ' || p_name || ' ' || p_brand
+    || {BLANK} || p_brand || ' ' || p_type || {BLANK} || '> notes' || chr(10) || '> ' || p_name || chr(10) || '> ' || p_brand || {SEPARATOR}
+    || '## Slide 2' || {BLANK} || p_name || {BLANK} || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || ' | ' || p_name || ' |'
+    || {BLANK} || p_type || chr(10) || '  - ' || p_brand AS markdown, true AS valid, '' AS warnings FROM part
+"""
+ORACLES["rich_shapes"] = """
+  WITH kinds(slide_index, place, kind) AS (VALUES (0, '0', 'text'), (0, '1', 'image'), (0, '2', 'other'), (0, '3', 'other'), (0, '4', 'other'),
+    (1, '0', 'group'), (1, '0.0', 'text'), (1, '0.1', 'table'), (1, '0.2', 'group'), (1, '0.2.0', 'text'))
+  SELECT p_partkey::VARCHAR AS deck_id, slide_index, place, kind, CASE WHEN slide_index = 0 AND place = '2' THEN p_type || ' series ' || p_name || ' ' || p_brand
+    WHEN slide_index = 0 AND place = '3' THEN p_brand || ' ' || p_type ELSE '' END AS fallback_text FROM part, kinds
+"""
+_LINE = norm(rough("x"))
+ORACLES["masking_counts"] = f"""
+  SELECT source AS deck_id, sum(coalesce(list_sum(list_transform(lines[2:], lambda x: len(regexp_extract_all({_LINE}, '[A-Z][a-z]+'))
+    + len(regexp_extract_all(regexp_replace({_LINE}, '[A-Z][a-z]+', '[REDACTED]', 'g'), '\\d+')))), 0))::BIGINT AS matches
+  FROM ({DOC_LINES}) GROUP BY source
+"""
 ORACLES["convert_deck_tables"] = ORACLES["convert_decks"]
 
 

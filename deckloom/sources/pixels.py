@@ -6,11 +6,15 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from deckloom.functions.images import image_class
 from deckloom.schema import IMAGE_FEATURES
@@ -170,10 +174,33 @@ def image_features(images: DataFrame, *, content: str = "image_bytes", extension
     return some.dropDuplicates(["hash", "extension"]).mapInPandas(run, schema)
 
 
+#: Images whose features a task remembers, so that a copy is decoded once there.
+REMEMBERED = 256
+
+
 def classify_images(shapes: DataFrame) -> DataFrame:
-    """``shapes`` with ``classification`` filled for images; others keep theirs."""
-    known = image_features(shapes.where(F.col("kind") == "image"))
-    known = known.select("hash", "extension", image_class(F.col("features")).alias("found"))
-    keyed = shapes.withColumns({"hash": F.sha2("image_bytes", 256), "extension": F.lower(F.coalesce("image_ext", F.lit("")))})
-    joined = keyed.join(known, ["hash", "extension"], "left")
-    return joined.withColumn("classification", F.when(F.col("kind") == "image", F.coalesce("found", "classification")).otherwise(F.col("classification"))).select(*shapes.columns)
+    """``shapes`` with ``classification`` filled for images; others keep theirs.
+
+    Images are measured where they are, so that their bytes move nowhere; an
+    image that cannot be decoded keeps its class too.
+    """
+    known = StructType.fromDDL(IMAGE_FEATURES.removeprefix("STRUCT<").removesuffix(">"))
+    rows = shapes.where(F.col("kind") == "image").select(F.struct("*").alias("row"))
+    schema = StructType([*rows.schema.fields, StructField("features", known)])
+    at = [shapes.columns.index(c) for c in ("image_bytes", "image_ext")]
+    features_type = to_arrow_type(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=REMEMBERED)
+        def measured(data: bytes, extension: str) -> dict | None:
+            raw = convert_vector(data, extension) if extension in ("emf", "wmf") else data
+            return features(raw) if raw else None
+
+        for batch in batches:
+            images, extensions = (batch.column(0).field(i).to_pylist() for i in at)
+            found = [measured(x, (e or "").lower()) if x else None for x, e in zip(images, extensions, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(found, features_type)], ["row", "features"])
+
+    done = rows.mapInArrow(run, schema).select("row.*", image_class(F.col("features")).alias("__found"))
+    done = done.withColumn("classification", F.coalesce("__found", "classification")).select(*shapes.columns)
+    return shapes.where(~F.coalesce(F.col("kind") == "image", F.lit(False))).unionByName(done)

@@ -38,6 +38,6 @@ def plan(frame, capsys):
 def test_plans_read_what_they_need(spark, sf_dir, capsys):
     text = plan(QUERIES["assemble_document_decks"](spark, sf_dir), capsys)
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in text and "n_chars" not in text
-    for name in sorted(set(QUERIES) - {"describe_once", "reconstruct_routed", "deck_source", "convert_decks", "convert_deck_tables", "pixel_features"}):
+    for name in sorted(set(QUERIES) - {"describe_once", "reconstruct_routed", "deck_source", "convert_decks", "convert_deck_tables", "pixel_features", "convert_rich_decks", "rich_shapes", "validate_structure", "validate_plain"}):
         text = plan(QUERIES[name](spark, sf_dir), capsys)
         assert not any(x in text for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")), name

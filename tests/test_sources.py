@@ -217,3 +217,45 @@ def test_stream_of_decks(spark, tmp_path):
     got = spark.read.parquet(str(out))
     assert sorted(r["markdown"] for r in got.collect()) == ["## Slide 1\n\none", "## Slide 1\n\ntwo"]
     assert got.select(F.count_distinct("batch")).first()[0] == 2
+
+
+def test_batches_are_validated_and_rendered_from_their_bytes(spark):
+    """Files that no local path leads to: renders get the bytes."""
+    from pyspark.sql import functions as F
+
+    from deckloom import ConvertOptions
+    from deckloom.api import convert_contents
+
+    decks = [write_deck([SlideXml().text([(f"Title {i}", 0)], placeholder="title").text([("```", 0)]) for _ in range(2)]) for i in range(3)]
+    files = spark.createDataFrame([(f"s3a://far/{i}.pptx", d) for i, d in enumerate(decks)], "path string, content binary")
+
+    class Rebuild:
+        def reconstruct(self, image_bytes, image_ext, context):
+            return f"# {context.slide_index} of {image_bytes.decode()}"
+
+    def renderer(deck, indices, *, dpi=150):
+        return {i: f"{len(deck)} {type(deck).__name__}".encode() for i in indices}
+
+    o = ConvertOptions(reconstructor=Rebuild(), visual_reconstruct=True, renderer=renderer, complex_when=F.col("slide_index") == 1, validate=True)
+    got = {r["deck_id"]: r for r in convert_contents(files, o).collect()}
+    for i, d in enumerate(decks):
+        row = got[f"s3a://far/{i}.pptx"]
+        assert row["markdown"].endswith(f"# 1 of {len(d)} bytes") and f"## Title {i}" in row["markdown"] and "# 0 of" not in row["markdown"]
+        assert not row["valid"] and len(row["warnings"]) >= 1
+    plain = convert_contents(files, ConvertOptions(validate=True))
+    assert plain.columns == ["deck_id", "markdown", "valid", "warnings"] and all(r["valid"] for r in plain.collect())
+    assert convert_contents(files).columns == ["deck_id", "markdown"]
+
+
+def test_classes_are_found_where_images_are(spark):
+    """Other shapes, images without bytes and unreadable ones keep their class."""
+    from pyspark.sql import functions as F
+
+    from deckloom.plans.views import as_shapes
+    from deckloom.sources.pixels import classify_images
+
+    rows = [(0, "text", None, "a"), (1, "image", None, "b"), (2, "image", b"x", "c"), (3, None, b"y", "d"), (4, "image", b"x", None)]
+    frame = spark.createDataFrame(rows, "i int, k string, b binary, c string")
+    shapes = as_shapes(frame, deck_id=F.lit("d"), slide_index=F.col("i"), kind=F.col("k"), image_bytes=F.col("b"), classification=F.col("c"))
+    got = {r["slide_index"]: r["classification"] for r in classify_images(shapes).collect()}
+    assert got == {0: "a", 1: "b", 2: "c", 3: "d", 4: None}
