@@ -5,12 +5,13 @@ others, independent trees branch on selected minwise tokens: at each level a
 path hash selects one or two of a document's minima (1 / similarity of them
 expected), and the token there extends the path.  Documents of one path at the
 chosen depth are a tree node.  Small nodes, of few members and few shingles in
-all, are compared exhaustively on full sets.  Members of other nodes are linked
-to the node's leader after the same exact count; nodes that this does not
-connect are branched deeper, by a byte of each minimum's hash, and in the end
-compared in pairs of blocks if branching cannot split them.  The number of
-trees follows from the recall wanted for a pair of exactly the least
-similarity.
+all, are compared exhaustively on full sets.  Members of other nodes are first
+compared with a few leaders of the node.  What these connect needs no more
+links; the members left over, if few, are compared with all members, a block of
+them in a task, and nodes that leave many are branched deeper, by a byte of
+each minimum's hash, and in the end compared in pairs of blocks if branching
+cannot split them.  The number of trees follows from the recall wanted for a
+pair of exactly the least similarity.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ class NearDuplicates:
     minima: int = 128
     depth: int = 4
     recall: float = 0.9999
-    node: int = 512  # most members compared in one task
+    node: int = 1024  # most members compared in one task
     shingles: int = 1 << 20  # and most of their shingles in all
+    leaders: int = 8  # of a larger node, at most 16
     rounds: int = 6
     broadcast_rows: int = 250_000
     seed: int = 20
@@ -184,6 +186,36 @@ def _confirmed(stars: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFram
     return members.join(leaders, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _left_over(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """Links of members of large nodes (path, digest, size, n, shingles) with
+    their node's leaders, and the members with ``left``: whether these links
+    do not connect it to what most leaders are in."""
+    lowest = [F.min(F.struct(F.xxhash64(F.lit(i), "digest"), "digest"))["digest"] for i in range(s.leaders)]
+    leaders = large.groupBy("path").agg(F.array(*lowest).alias("all")).select("path", F.posexplode("all").alias("i", "leader"))
+    tried = materialise(large.join(leaders, "path").select("path", "digest", "i", "leader"), "tried")
+    stars = materialise(tried.select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct().where("a != b"), "stars")
+    links = materialise(_confirmed(stars, sets, s), "links")
+    found = links.select(F.col("a").alias("leader"), F.col("b").alias("digest"), F.lit(True).alias("near"))
+    bit = F.when(F.col("near") | (F.col("leader") == F.col("digest")), F.expr("shiftleft(1, i)")).otherwise(0)
+    masks = materialise(tried.join(found, ["leader", "digest"], "left").groupBy("path", "digest").agg(F.bit_or(bit).alias("mask")), "masks")
+
+    def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leaders that members' masks join to most others."""
+        for batch in batches:
+            out = []
+            for seen in batch.column(1).to_pylist():
+                parts: list[int] = []
+                for mask in filter(None, seen):
+                    apart = [x for x in parts if not x & mask]
+                    parts = [*apart, reduce(int.__or__, [x for x in parts if x & mask], mask)]
+                out.append(max(parts, key=lambda x: (x.bit_count(), x), default=0))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.int32())], ["path", "main"])
+
+    main = masks.groupBy("path").agg(F.collect_set("mask").alias("seen")).mapInArrow(connected, "path long, main int")  # 2 ** leaders at most
+    left = masks.join(main, "path").select("path", "digest", (F.col("mask").bitwiseAND(F.col("main")) == 0).alias("left"))
+    return links, materialise(large.join(left, ["path", "digest"]), "left")
+
+
 def _counts(sets: list[np.ndarray], first: int, width: int = 4096) -> np.ndarray:
     """Intersection sizes of all sets up to ``first`` with all from there on
     (all with all for 0), by products of blocks of the incidence matrix."""
@@ -251,10 +283,10 @@ def _deeper(rows: DataFrame, s: NearDuplicates, salt: int) -> DataFrame:
             short = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             start = batch.column(0).to_numpy().view(np.uint64)
             row, path = s.paths(short, start, salt)
-            own = [batch.column(i).take(pa.array(row)) for i in (1, 3)]
-            yield pa.record_batch([pa.array(path.view(np.int64)), *own], ["path", "digest", "size"])
+            own = [batch.column(i).take(pa.array(row)) for i in (1, 3, 4)]
+            yield pa.record_batch([pa.array(path.view(np.int64)), *own], ["path", "digest", "size", "left"])
 
-    return rows.select("path", "digest", "short", "size").mapInArrow(run, "path long, digest binary, size long").distinct()
+    return rows.select("path", "digest", "short", "size", "left").mapInArrow(run, "path long, digest binary, size long, left boolean").distinct()
 
 
 def near_duplicates(
@@ -299,19 +331,20 @@ def _links(docs: DataFrame, classes: DataFrame, s: NearDuplicates) -> DataFrame
     """Links (a, b) of digests that connect each component.
 
     Nodes of up to ``s.node`` members and ``s.shingles`` shingles are compared
-    exhaustively at once.  In larger ones every member is tried with the
-    leader; where that does not connect all, the node is branched deeper.
+    exhaustively at once.  In larger ones every member is tried with some
+    leaders; those that this leaves over are compared with all members, or,
+    where they are many, the node is branched deeper.
     """
-    nodes = classes.select(F.explode("paths").alias("path"), "digest", "size")
+    nodes = classes.select(F.explode("paths").alias("path"), "digest", "size", F.lit(True).alias("left"))
     sets, links = None, []
     for salt in range(s.rounds + 1):
         sizes = nodes.groupBy("path").agg(
-            F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("digest").alias("leader"),
-            F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("members"),
-        ).where("n > 1")
+            F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("digest").alias("least"),
+            F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("members"), F.bool_or("left").alias("open"),
+        ).where("n > 1 AND open")
         # nodes of the same members, as most trees make them, count once
-        sizes = sizes.groupBy("n", "shingles", "leader", "members").agg(F.min("path").alias("path")).select("path", "n", "shingles", "leader")
-        nodes = materialise(nodes.join(sizes, "path"), "nodes")
+        sizes = sizes.groupBy("n", "shingles", "least", "members").agg(F.min("path").alias("path")).select("path", "n", "shingles")
+        nodes = materialise(nodes.drop("left").join(sizes, "path"), "nodes")
         if nodes.isEmpty():
             break
         if sets is None:
@@ -320,21 +353,35 @@ def _links(docs: DataFrame, classes: DataFrame, s: NearDuplicates) -> DataFrame
         is_small = (F.col("n") <= s.node) & (F.col("shingles") <= s.shingles)
         small = nodes.where(is_small).select("path", F.lit(0).alias("side"), "digest").join(sets, "digest")
         links.append(materialise(_exhaustive(small, s, ["path"]), "links"))
-        large = nodes.where(~is_small)
+        large = materialise(nodes.where(~is_small), "large")
+        if large.isEmpty():
+            break
+        found, large = _left_over(large, sets, s)
+        links.append(found)
+        rest = large.where("left").groupBy("path").agg(F.count("*").alias("n_left"), F.sum("size").alias("size_left"))
+        large = materialise(large.join(rest, "path"), "large")  # nodes that leaders connect are done
+        few = (F.col("n_left") <= s.node) & (F.col("size_left") <= s.shingles)
+        links.append(materialise(_with_all(large.where(few), sets, s), "links"))
+        large = large.where(~few).drop("n_left", "size_left")
         if large.isEmpty():
             break
-        stars = large.where("digest != leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-        links.append(materialise(_confirmed(materialise(stars, "stars"), sets, s), "links"))
-        joined = large.join(links[-1], (large.leader == F.col("a")) & (large.digest == F.col("b")))
-        closed = joined.groupBy("path", "n").agg(F.count("*").alias("joined")).where("joined = n - 1").select("path")
-        large = materialise(large.where("n > 2").join(closed, "path", "left_anti"), "large")
         if salt == s.rounds:
-            links.append(materialise(_blocks(large, sets, s), "links"))
+            links.append(materialise(_blocks(large.drop("left"), sets, s), "links"))
             break
-        nodes = materialise(_deeper(large.join(classes.select("digest", "short"), "digest"), s, salt + 1), "deeper")
+        nodes = materialise(_deeper(large.drop("n", "shingles").join(classes.select("digest", "short"), "digest"), s, salt + 1), "deeper")
     return reduce(DataFrame.unionByName, links) if links else None
 
 
+def _with_all(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
+    """Links of the few members left over with all members of their node,
+    of which each task holds a block."""
+    n_blocks = F.greatest(F.ceil(F.col("n") / s.node), F.ceil(F.col("shingles") / s.shingles)).cast("int")
+    rows = large.withColumn("parts", n_blocks)
+    members = rows.select("path", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("block"), F.lit(1).alias("side"), "digest")
+    left = rows.where("left").select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.lit(0).alias("side"), "digest")
+    return _exhaustive(members.unionByName(left).join(sets, "digest"), s, ["path", "block"])
+
+
 def _blocks(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> DataFrame:
     """All pairs of blocks of those nodes that branching never split: each
     task holds two blocks of a node, of half the members and shingles each
