@@ -45,7 +45,7 @@ class NearDuplicates:
     recall: float = 0.9999
     node: int = 1024  # most members compared in one task
     shingles: int = 1 << 20  # and most of their shingles in all
-    leaders: int = 8  # of a larger node, at most 16
+    leaders: int = 4  # of a larger node, at most 16
     rounds: int = 6
     broadcast_rows: int = 250_000
     seed: int = 20
