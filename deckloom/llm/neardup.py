@@ -197,7 +197,9 @@ def _left_over(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> tuple[Da
     links = materialise(_confirmed(stars, sets, s), "links")
     found = links.select(F.col("a").alias("leader"), F.col("b").alias("digest"), F.lit(True).alias("near"))
     bit = F.when(F.col("near") | (F.col("leader") == F.col("digest")), F.expr("shiftleft(1, i)")).otherwise(0)
-    masks = materialise(tried.join(found, ["leader", "digest"], "left").groupBy("path", "digest").agg(F.bit_or(bit).alias("mask")), "masks")
+    first = F.min(F.when(bit > 0, F.struct("i", "leader")))["leader"]
+    masks = tried.join(found, ["leader", "digest"], "left").groupBy("path", "digest").agg(F.bit_or(bit).alias("mask"), first.alias("first"))
+    masks = materialise(masks, "masks")
 
     def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The leaders that members' masks join to most others."""
@@ -212,8 +214,14 @@ def _left_over(large: DataFrame, sets: DataFrame, s: NearDuplicates) -> tuple[Da
             yield pa.record_batch([batch.column(0), pa.array(out, pa.int32())], ["path", "main"])
 
     main = masks.groupBy("path").agg(F.collect_set("mask").alias("seen")).mapInArrow(connected, "path long, main int")  # 2 ** leaders at most
+    main = materialise(main, "main")
     left = masks.join(main, "path").select("path", "digest", (F.col("mask").bitwiseAND(F.col("main")) == 0).alias("left"))
-    return links, materialise(large.join(left, ["path", "digest"]), "left")
+    # one link connects a member, and one each the leaders that members join
+    joined = leaders.join(main, "path").where(F.expr("(shiftleft(1, i) & main) != 0"))
+    joined = joined.groupBy("path").agg(F.min(F.struct("i", "leader"))["leader"].alias("a"), F.collect_set("leader").alias("all"))
+    joined = joined.select("a", F.explode("all").alias("b"))
+    links = masks.select(F.col("first").alias("a"), F.col("digest").alias("b")).unionByName(joined).where("a != b").distinct()
+    return materialise(links, "links"), materialise(large.join(left, ["path", "digest"]), "left")
 
 
 def _counts(sets: list[np.ndarray], first: int, width: int = 4096) -> np.ndarray:
