@@ -27,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", broadcast_labels: i
     n = links.count()
     files = max(1, -(-4 * n // FILE_ROWS))  # few rows need few tasks and files
     both = F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("uv", "vu", "uu", "vv")]))
-    both = materialise(links.select(both.alias("e")).select("e.u", "e.v").coalesce(files), "links")
+    both = materialise(links.select(both.alias("e")).select("e.u", "e.v").distinct().coalesce(files), "links")
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     labels = materialise(labels.coalesce(files), "labels")
     few = F.broadcast if labels.count() <= broadcast_labels else lambda df: df
